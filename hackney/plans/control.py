@@ -50,7 +50,7 @@ def move_bookmark(
     status: str = SUCCESS,
 ) -> None:
     row = (source_name, last_processed_row, total_rows_loaded, source_file, status, now())
-    warehouse.append(CONTROL, WATERMARKS, row, BOOKMARK_SCHEMA)
+    warehouse.append(CONTROL, WATERMARKS, [row], BOOKMARK_SCHEMA)
 
 
 @dataclass
@@ -77,7 +77,7 @@ def log_run(warehouse: Warehouse, run: Run) -> None:
         run.status,
         run.failure_reason,
     )
-    warehouse.append(AUDIT, PIPELINE_RUNS, row, AUDIT_SCHEMA)
+    warehouse.append(AUDIT, PIPELINE_RUNS, [row], AUDIT_SCHEMA)
 
 
 def read_runs(warehouse: Warehouse) -> DataFrame:

@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from hackney.operators import metrics, quality
 from hackney.plans import control
+from hackney.plans.model import MARTS as MART_TABLES
 from hackney.plans.model import STAGING as STAGED_TABLES
 from hackney.plans.model import Model
-from hackney.plans.warehouse import MARTS, QUARANTINE, RAW, STAGING, Warehouse, schema_name
+from hackney.plans.warehouse import AUDIT, MARTS, QUARANTINE, RAW, STAGING, Warehouse, schema_name
 from hackney.session import build_session
 from hackney.sources.trip_files import BAD_LINE, bad_lines, good_lines, read_trip_files
 
@@ -28,6 +29,7 @@ SOURCE_NAME = "trips_csv"
 BATCH_ID = "trips_csv_full"
 RAW_TRIPS = "trips_staged"
 BAD_LINES = "bad_lines"
+QUALITY_REPORT = "quality_report"
 METRICS = "metrics"
 
 
@@ -70,14 +72,14 @@ def _load_all(warehouse: Warehouse, source: str, run: control.Run, fail_on_bad_l
     if run.rows_rejected:
         if fail_on_bad_lines:
             raise BadLines(f"{run.rows_rejected} lines with a wrong number of cells")
-        warehouse.publish(QUARANTINE, BAD_LINES, bad_lines(lines))
-    warehouse.point_to(RAW, RAW_TRIPS, version)
+        warehouse.publish(QUARANTINE, {BAD_LINES: bad_lines(lines)})
+    warehouse.point_to(RAW, {RAW_TRIPS: version})
     run.rows_loaded = run.rows_extracted - run.rows_rejected
     control.move_bookmark(warehouse, SOURCE_NAME, run.rows_loaded, run.rows_loaded, os.path.basename(source))
 
 
 def model_of(warehouse: Warehouse, raw_table: str = RAW_TRIPS) -> Model:
-    return Model(warehouse.spark, warehouse.read(RAW, raw_table))
+    return Model(warehouse.spark, warehouse.read_one(RAW, raw_table))
 
 
 def register_staging(warehouse: Warehouse, raw_table: str = RAW_TRIPS) -> None:
@@ -90,19 +92,18 @@ def register_staging(warehouse: Warehouse, raw_table: str = RAW_TRIPS) -> None:
 def build_marts(warehouse: Warehouse, raw_table: str = RAW_TRIPS) -> dict[str, int]:
     """Writes all mart tables and the quarantine anew. Returns the rows of each."""
     model = model_of(warehouse, raw_table)
-    written = {name: warehouse.publish(MARTS, name, table) for name, table in model.marts().items()}
-    written["quarantine_trips"] = warehouse.publish(QUARANTINE, "trips", model.quarantine_trips)
-    return written
+    written = warehouse.publish(MARTS, model.marts())
+    return written | warehouse.publish(QUARANTINE, {"trips": model.quarantine_trips})
 
 
 def read_marts(warehouse: Warehouse) -> dict[str, DataFrame]:
-    return {name: warehouse.read(MARTS, name) for name in quality.KEYS}
+    return dict(zip(MART_TABLES, warehouse.read(MARTS, *MART_TABLES)))
 
 
 def check_marts(warehouse: Warehouse) -> None:
     """Publishes the report of all checks and raises if one failed."""
-    warehouse.publish(MARTS, "quality_report", quality.report(read_marts(warehouse)))
-    quality.require_all_passed(warehouse.read(MARTS, "quality_report"))
+    warehouse.publish(AUDIT, {QUALITY_REPORT: quality.report(read_marts(warehouse))})
+    quality.require_all_passed(warehouse.read_one(AUDIT, QUALITY_REPORT))
 
 
 def mart_metrics(marts: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -131,9 +132,7 @@ def place_metrics(located: DataFrame) -> dict[str, DataFrame]:
 
 def publish_metrics(warehouse: Warehouse, raw_table: str = RAW_TRIPS) -> None:
     located = metrics.located_trips(model_of(warehouse, raw_table).valid_trips)
-    answers = {**mart_metrics(read_marts(warehouse)), **place_metrics(located)}
-    for name, answer in answers.items():
-        warehouse.publish(METRICS, name, answer)
+    warehouse.publish(METRICS, mart_metrics(read_marts(warehouse)) | place_metrics(located))
 
 
 def daily_run(warehouse: Warehouse, source: str) -> control.Run:

@@ -10,6 +10,7 @@ where SQL and BI clients find them as `MARTS.fact_trip` and so on.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
@@ -21,6 +22,7 @@ RAW, STAGING, MARTS, QUARANTINE, CONTROL, AUDIT = "raw", "staging", "marts", "qu
 DEFAULT_LAYER = "public"
 
 _VERSIONS = "table_versions"
+_WRITES_AT_ONCE = 4
 _VERSION_SCHEMA = T.StructType(
     [
         T.StructField("schema_name", T.StringType()),
@@ -50,9 +52,9 @@ class Warehouse:
 
     # Logs: small tables that only grow.
 
-    def append(self, layer: str, table: str, row: tuple, schema: T.StructType) -> None:
-        one = self.spark.createDataFrame([row], schema).coalesce(1)
-        one.write.mode("append").parquet(self.folder(layer, table))
+    def append(self, layer: str, table: str, rows: list[tuple], schema: T.StructType) -> None:
+        one_file = self.spark.createDataFrame(rows, schema).coalesce(1)
+        one_file.write.mode("append").parquet(self.folder(layer, table))
 
     def read_log(self, layer: str, table: str, schema: T.StructType) -> DataFrame:
         """The rows of a log; an empty table before the first one."""
@@ -71,27 +73,45 @@ class Warehouse:
         rows.write.parquet(location)
         return location
 
-    def publish(self, layer: str, table: str, rows: DataFrame) -> int:
-        """Writes a new version and makes it current. Returns its rows, counted while they are written."""
-        observation = Observation()
-        location = self.write(layer, table, rows.observe(observation, F.count(F.lit(1)).alias("rows")))
-        self.point_to(layer, table, location)
-        return observation.get["rows"]
+    def publish(self, layer: str, tables: dict[str, DataFrame]) -> dict[str, int]:
+        """Writes new versions of tables and makes them current together, once all are written.
 
-    def point_to(self, layer: str, table: str, location: str) -> None:
+        The tables are written side by side, so that the last tasks of one do
+        not leave the cluster idle. Returns the rows of each, counted while
+        they are written.
+        """
+
+        def write(name: str) -> tuple[str, int]:
+            observation = Observation()
+            counted = tables[name].observe(observation, F.count(F.lit(1)).alias("rows"))
+            return self.write(layer, name, counted), observation.get["rows"]
+
+        with ThreadPoolExecutor(_WRITES_AT_ONCE) as pool:
+            written = dict(zip(tables, pool.map(write, tables)))
+        self.point_to(layer, {name: location for name, (location, _) in written.items()})
+        return {name: rows for name, (_, rows) in written.items()}
+
+    def point_to(self, layer: str, locations: dict[str, str]) -> None:
+        """Makes versions current. All rows go into one file, so they take effect at once."""
         now = datetime.now(timezone.utc)
-        self.append(CONTROL, _VERSIONS, (schema_name(layer), table, location, now), _VERSION_SCHEMA)
+        rows = [(schema_name(layer), table, location, now) for table, location in locations.items()]
+        self.append(CONTROL, _VERSIONS, rows, _VERSION_SCHEMA)
 
     def current_locations(self) -> DataFrame:
         versions = self.read_log(CONTROL, _VERSIONS, _VERSION_SCHEMA)
         return versions.groupBy("schema_name", "table_name").agg(F.max_by("location", "published_at").alias("location"))
 
-    def read(self, layer: str, table: str) -> DataFrame:
-        wanted = (F.col("schema_name") == schema_name(layer)) & (F.col("table_name") == table)
-        current = self.current_locations().filter(wanted).first()
-        if current is None:
-            raise NotPublished(f"{schema_name(layer)}.{table}")
-        return self.spark.read.parquet(current.location)
+    def read(self, layer: str, *tables: str) -> list[DataFrame]:
+        """Current versions of tables of one layer, found with one look at the control layer."""
+        wanted = (F.col("schema_name") == schema_name(layer)) & F.col("table_name").isin(*tables)
+        current = {row.table_name: row.location for row in self.current_locations().filter(wanted).collect()}
+        missing = [table for table in tables if table not in current]
+        if missing:
+            raise NotPublished(f"{schema_name(layer)}: {', '.join(missing)}")
+        return [self.spark.read.parquet(current[table]) for table in tables]
+
+    def read_one(self, layer: str, table: str) -> DataFrame:
+        return self.read(layer, table)[0]
 
     def register(self) -> None:
         """Points the catalog's tables at the current versions. One row per table, so the loop is short."""

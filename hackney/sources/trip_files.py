@@ -72,6 +72,5 @@ def good_lines(lines: DataFrame) -> DataFrame:
 
 
 def bad_lines(lines: DataFrame) -> DataFrame:
-    """Lines that are no trip, as they stand in the file."""
-    lineage = ["batch_id", "pipeline_run_id", "source_file", "ingestion_timestamp"]
-    return lines.filter(F.col(BAD_LINE).isNotNull()).select(*lineage, BAD_LINE)
+    """Lines that are no trip, as they stand in the file and as far as they could be read."""
+    return lines.filter(F.col(BAD_LINE).isNotNull()).select(*RAW_COLUMNS, BAD_LINE)
