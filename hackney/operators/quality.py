@@ -1,8 +1,8 @@
 """Data quality checks. A check passes when it finds no failing row.
 
-Checks are data: a table, a condition and its name. The report counts the
-failures of all checks with one scan per table for the conditions on rows and
-one grouping per key for uniqueness.
+Checks are data: a table, a kind and a column. The report counts the failures
+of all checks with one grouping per key, which tells repeated and missing keys,
+and one scan of the fact for the conditions on its rows.
 """
 
 from __future__ import annotations
@@ -66,11 +66,7 @@ def _fails(check: Check) -> Column:
 
 
 def _repeated_keys(table: DataFrame, key: str) -> DataFrame:
-    """Keys that occur more than once, with their number of rows.
-
-    The partial count takes copies of a key together within each task, so a
-    key that fills a third of the table does not fill a task of the shuffle.
-    """
+    """Keys that occur more than once, with their number of rows."""
     return table.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
@@ -81,14 +77,8 @@ def failing_rows(check: Check, table: DataFrame) -> DataFrame:
     return table.filter(_fails(check))
 
 
-def _count_repeated(check: Check, table: DataFrame) -> DataFrame:
-    repeated = _repeated_keys(table, check.column).agg(F.count(F.lit(1)).alias("failures"))
-    return repeated.select(F.lit(check.name).alias("check_name"), F.lit(check.table).alias("table_name"), "failures")
-
-
-def _count_rows(checks: list[Check], table: DataFrame) -> DataFrame:
-    """Failures of several checks on rows of one table, in one pass over it."""
-    counts = table.agg(*(F.count_if(_fails(check)).alias(check.name) for check in checks))
+def _as_rows(counts: DataFrame, checks: list[Check]) -> DataFrame:
+    """One row per check from one row with a column per check."""
     rows = [
         F.struct(
             F.lit(check.name).alias("check_name"),
@@ -100,12 +90,36 @@ def _count_rows(checks: list[Check], table: DataFrame) -> DataFrame:
     return counts.select(F.inline(F.array(*rows)))
 
 
+def _count_by_key(checks: list[Check], table: DataFrame) -> DataFrame:
+    """Failures of the checks on the key of a table, from one grouping by the key.
+
+    The partial count takes copies of a key together within each task, so a
+    key that fills a third of the table does not fill a task of the shuffle.
+    """
+    key = F.col(checks[0].column)
+    groups = table.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    failures = {
+        "unique": F.count_if(key.isNotNull() & (F.col("n") > 1)),
+        "not_null": F.coalesce(F.sum(F.when(key.isNull(), F.col("n"))), F.lit(0)),
+    }
+    return _as_rows(groups.agg(*(failures[check.kind].alias(check.name) for check in checks)), checks)
+
+
+def _count_rows(checks: list[Check], table: DataFrame) -> DataFrame:
+    """Failures of several checks on rows of one table, in one pass over it."""
+    return _as_rows(table.agg(*(F.count_if(_fails(check)).alias(check.name) for check in checks)), checks)
+
+
 def report(tables: dict[str, DataFrame], checks: list[Check] = ALL_CHECKS) -> DataFrame:
     """One row per check with the number of its failures."""
-    parts = [_count_repeated(check, tables[check.table]) for check in checks if check.kind == "unique"]
-    on_rows = [check for check in checks if check.kind != "unique"]
-    for table in dict.fromkeys(check.table for check in on_rows):
-        parts.append(_count_rows([check for check in on_rows if check.table == table], tables[table]))
+    parts = []
+    for name in dict.fromkeys(check.table for check in checks):
+        here = [check for check in checks if check.table == name]
+        unique = {check.column for check in here if check.kind == "unique"}
+        by_key = [check for check in here if check.column in unique]
+        on_rows = [check for check in here if check.column not in unique]
+        parts += [_count_by_key(by_key, tables[name])] if by_key else []
+        parts += [_count_rows(on_rows, tables[name])] if on_rows else []
     return reduce(DataFrame.union, parts)
 
 

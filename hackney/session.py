@@ -31,7 +31,9 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 def build_session(master: str | None = None, name: str = "hackney", **settings: str) -> SparkSession:
     """A session with the engine's settings. On a cluster the launcher gives master, memory and partitions."""
-    builder = SparkSession.builder.appName(name)
+    # Recording the place in the program of every column operation takes longer
+    # than building the plan; switch it on to search for the source of an error.
+    builder = SparkSession.builder.appName(name).config("spark.python.sql.dataFrameDebugging.enabled", "false")
     if master:
         builder = builder.master(master)
     for key, value in {**SETTINGS, **settings}.items():

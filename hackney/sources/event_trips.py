@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from hackney.schemas import RAW_COLUMNS
 
+_EVENTS = "event_id bigint, ts timestamp_ntz"
+
 # Offset of the dropoff behind the pickup, in seconds: some trips end before
 # they start, some are very short and some are longer than five hours.
 _OFFSET = """case event_id % 50
@@ -71,5 +73,5 @@ _EXPRESSIONS = {
 
 def trips_from_events(spark: SparkSession, folder: str) -> DataFrame:
     """Raw trips of the events in `folder`; only the id and the time are read."""
-    events = spark.read.parquet(f"{folder}/events.parquet").select("event_id", "ts")
+    events = spark.read.schema(_EVENTS).parquet(f"{folder}/events.parquet")
     return events.select(*(F.expr(_EXPRESSIONS[name]).alias(name) for name in RAW_COLUMNS))
