@@ -8,7 +8,7 @@ that is small and fixed, except for the grid.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hackney.functions.dayparts import day_of_week_number, time_of_day
@@ -146,23 +146,32 @@ def demand_by_grid(located: DataFrame) -> DataFrame:
     return group_parts(located, [F.col("lat_bucket"), F.col("lon_bucket")], [])
 
 
+def _correlation(x: Column, y: Column) -> Column:
+    """Correlation over the rows with both values; NULL where one of them does not vary.
+
+    Spark's own `corr` divides by zero there, which stops the query in ANSI mode.
+    """
+    both = x.isNotNull() & y.isNotNull()
+    deviations = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.try_divide(F.covar_pop(x, y), deviations)
+
+
 def trip_efficiency(located: DataFrame) -> DataFrame:
     """Means of distance, duration and fare and how they move together, per borough and over all trips."""
-    amounts = ["trip_distance", "trip_duration_minutes", "total_amount"]
+    distance, fare = F.col("trip_distance"), F.col("total_amount")
     minutes = F.col("trip_duration_minutes").cast("double")
-    pairs = {
-        "corr_distance_duration": F.corr("trip_distance", minutes),
-        "corr_distance_fare": F.corr("trip_distance", "total_amount"),
-        "corr_duration_fare": F.corr(minutes, "total_amount"),
+    measures = {
+        "average_trip_distance": F.avg(distance),
+        "average_trip_duration_minutes": F.avg(minutes),
+        "average_total_amount": F.avg(fare),
+        "corr_distance_duration": _correlation(distance, minutes),
+        "corr_distance_fare": _correlation(distance, fare),
+        "corr_duration_fare": _correlation(minutes, fare),
     }
-    return (
-        located.rollup("borough")
-        .agg(
-            F.grouping("borough").cast("boolean").alias("is_all_trips"),
-            F.count(F.lit(1)).alias("trips"),
-            *(round_to_cents(F.avg(name)).alias(f"average_{name}") for name in amounts),
-            *(round_to_cents(corr).alias(name) for name, corr in pairs.items()),
-        )
+    return located.rollup("borough").agg(
+        F.grouping("borough").cast("boolean").alias("is_all_trips"),
+        F.count(F.lit(1)).alias("trips"),
+        *(round_to_cents(measure).alias(name) for name, measure in measures.items()),
     )
 
 

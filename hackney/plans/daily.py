@@ -20,8 +20,9 @@ from hackney.plans.model import MARTS as MART_TABLES
 from hackney.plans.model import STAGING as STAGED_TABLES
 from hackney.plans.model import Model
 from hackney.plans.warehouse import AUDIT, MARTS, QUARANTINE, RAW, STAGING, Warehouse, schema_name
-from hackney.session import build_session
+from hackney.session import build_session, size_shuffles
 from hackney.sources.trip_files import BAD_LINE, bad_lines, good_lines, read_trip_files
+from hackney.streaming.new_files import load_new_files, read_new_trips
 
 log = logging.getLogger(__name__)
 
@@ -78,20 +79,25 @@ def _load_all(warehouse: Warehouse, source: str, run: control.Run, fail_on_bad_l
     control.move_bookmark(warehouse, SOURCE_NAME, run.rows_loaded, run.rows_loaded, os.path.basename(source))
 
 
-def model_of(warehouse: Warehouse, raw_table: str = RAW_TRIPS) -> Model:
-    return Model(warehouse.spark, warehouse.read_one(RAW, raw_table))
+def full_model(warehouse: Warehouse) -> Model:
+    """The tables over the raw trips of the last full load."""
+    return Model(warehouse.spark, warehouse.read_one(RAW, RAW_TRIPS))
 
 
-def register_staging(warehouse: Warehouse, raw_table: str = RAW_TRIPS) -> None:
+def new_files_model(warehouse: Warehouse) -> Model:
+    """The tables over all trips that were loaded file by file."""
+    return Model(warehouse.spark, read_new_trips(warehouse))
+
+
+def register_staging(model: Model) -> None:
     """Staged tables as views that are worked out when they are read."""
-    model = model_of(warehouse, raw_table)
     for name in STAGED_TABLES:
         getattr(model, name).createOrReplaceTempView(f"{schema_name(STAGING)}_{name}")
 
 
-def build_marts(warehouse: Warehouse, raw_table: str = RAW_TRIPS) -> dict[str, int]:
+def build_marts(warehouse: Warehouse, model: Model) -> dict[str, int]:
     """Writes all mart tables and the quarantine anew. Returns the rows of each."""
-    model = model_of(warehouse, raw_table)
+    size_shuffles(warehouse.spark, model.raw)
     written = warehouse.publish(MARTS, model.marts())
     return written | warehouse.publish(QUARANTINE, {"trips": model.quarantine_trips})
 
@@ -130,38 +136,48 @@ def place_metrics(located: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def publish_metrics(warehouse: Warehouse, raw_table: str = RAW_TRIPS) -> None:
-    located = metrics.located_trips(model_of(warehouse, raw_table).valid_trips)
+def publish_metrics(warehouse: Warehouse, model: Model) -> None:
+    size_shuffles(warehouse.spark, model.raw)
+    located = metrics.located_trips(model.valid_trips)
     warehouse.publish(METRICS, mart_metrics(read_marts(warehouse)) | place_metrics(located))
 
 
-def daily_run(warehouse: Warehouse, source: str) -> control.Run:
+def daily_run(warehouse: Warehouse, source: str, new_files_only: bool = False) -> None:
     """All stages in order. A failed check stops the run before the metrics are published."""
-    run = load(warehouse, source)
-    register_staging(warehouse)
-    build_marts(warehouse)
+    if new_files_only:
+        load_new_files(warehouse, source)
+    else:
+        load(warehouse, source)
+    model = new_files_model(warehouse) if new_files_only else full_model(warehouse)
+    register_staging(model)
+    build_marts(warehouse, model)
     check_marts(warehouse)
-    publish_metrics(warehouse)
+    publish_metrics(warehouse, model)
     warehouse.register()
-    return run
 
 
 def main(arguments: list[str] | None = None) -> None:
-    stages = {
-        "load": lambda warehouse, source: load(warehouse, source),
-        "marts": lambda warehouse, source: build_marts(warehouse),
-        "checks": lambda warehouse, source: check_marts(warehouse),
-        "metrics": lambda warehouse, source: publish_metrics(warehouse),
-        "all": daily_run,
-    }
     parser = argparse.ArgumentParser(description="Daily run of the trip tables")
     parser.add_argument("--root", required=True, help="shared folder of the tables")
     parser.add_argument("--source", help="trip file or folder of trip files, for load and all")
-    parser.add_argument("stage", choices=stages, nargs="?", default="all")
+    parser.add_argument("--new-files", action="store_true", help="load only files that no run has loaded yet")
+    parser.add_argument("stage", choices=["load", "marts", "checks", "metrics", "all"], nargs="?", default="all")
     options = parser.parse_args(arguments)
     if options.stage in ("load", "all") and not options.source:
         parser.error("--source is needed to load")
-    stages[options.stage](Warehouse(build_session(), options.root), options.source)
+    warehouse = Warehouse(build_session(), options.root)
+    model_of = new_files_model if options.new_files else full_model
+    load_from = load_new_files if options.new_files else load
+    if options.stage == "load":
+        load_from(warehouse, options.source)
+    elif options.stage == "marts":
+        build_marts(warehouse, model_of(warehouse))
+    elif options.stage == "checks":
+        check_marts(warehouse)
+    elif options.stage == "metrics":
+        publish_metrics(warehouse, model_of(warehouse))
+    else:
+        daily_run(warehouse, options.source, options.new_files)
 
 
 if __name__ == "__main__":

@@ -19,7 +19,7 @@ from hackney.operators import metrics, quality, staging, trips
 from hackney.plans.model import Model
 from hackney.plans.warehouse import Warehouse
 from hackney.schemas import RAW_COLUMNS, SOURCE_COLUMNS
-from hackney.session import prepare, shared_folder
+from hackney.session import prepare, shared_folder, size_shuffles
 from hackney.sources.event_trips import trips_from_events
 from hackney.sources.trip_files import good_lines, read_trip_files
 from hackney.streaming.new_files import load_new_files, read_new_trips
@@ -28,7 +28,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def model(spark: SparkSession, folder: str) -> Model:
-    return Model(prepare(spark), trips_from_events(spark, folder))
+    raw = trips_from_events(prepare(spark), folder)
+    size_shuffles(spark, raw)
+    return Model(spark, raw)
 
 
 def _on_model(build: Callable[[Model], DataFrame]) -> Query:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that may be set on a running session.
 SETTINGS = {
@@ -21,6 +21,9 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+_BYTES_PER_PARTITION = 128 * 1024 * 1024
+_MOST_PARTITIONS = 50_000
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Applies the engine's settings to a session."""
@@ -41,6 +44,20 @@ def build_session(master: str | None = None, name: str = "hackney", **settings:
     return builder.getOrCreate()
 
 
+def size_shuffles(spark: SparkSession, table: DataFrame) -> int:
+    """Starts shuffles with one partition per 128 MB of the table that feeds them, as the files' sizes tell.
+
+    Never fewer than the session's own number. Partitions that turn out small
+    are merged at run time, while too few large ones would spill; beyond the
+    limit the bookkeeping of a shuffle costs more than the smaller partitions save.
+    """
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(least, min(size // _BYTES_PER_PARTITION, _MOST_PARTITIONS))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", partitions)
+    return partitions
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that every executor can reach, under `spark.checkpoint.dir`.
 

@@ -123,7 +123,8 @@ CLEAN = """try_cast(pickup_datetime as timestamp) is not null and pickup_latitud
 
 def test_daily_run_on_clean_trips(spark, warehouse, tmp_path):
     as_files(spark, tmp_path / "in", condition=CLEAN)
-    run = daily.daily_run(warehouse, str(tmp_path / "in"))
+    daily.daily_run(warehouse, str(tmp_path / "in"))
+    run = newest_run(warehouse)
     fact = warehouse.read_one(MARTS, "fact_trip")
     rejected = warehouse.read_one(QUARANTINE, "trips")
     assert fact.count() + rejected.count() == run.rows_loaded
@@ -133,7 +134,8 @@ def test_daily_run_on_clean_trips(spark, warehouse, tmp_path):
     assert spark.table(f"{schema_name(MARTS)}.fact_trip").count() == fact.count()
     assert spark.table("STAGING_stg_trips").count() == run.rows_loaded
     # All stages again: the load is skipped and the same tables come out.
-    assert daily.daily_run(warehouse, str(tmp_path / "in")).status == "SKIPPED"
+    daily.daily_run(warehouse, str(tmp_path / "in"))
+    assert newest_run(warehouse).execution_status == "SKIPPED"
     again = warehouse.read_one(MARTS, "fact_trip").drop("dbt_updated_at")
     assert again.exceptAll(fact.drop("dbt_updated_at")).count() == 0 and again.count() == fact.count()
     assert spark.table(f"{schema_name(MARTS)}.fact_trip").inputFiles() != []
@@ -209,3 +211,25 @@ def test_stages_from_the_command_line(spark, tmp_path):
     for stage in ("load", "marts", "checks", "metrics"):
         daily.main(["--root", root, "--source", str(tmp_path / "in"), stage])
     assert Warehouse(spark, root).read_one(daily.METRICS, "trips_by_borough").count() > 0
+
+
+def test_daily_run_with_new_files_only(spark, warehouse, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write(folder / "a.csv", GOOD, GOOD)
+    daily.daily_run(warehouse, str(folder), new_files_only=True)
+    assert warehouse.read_one(MARTS, "fact_trip").count() == 2
+    write(folder / "b.csv", GOOD)
+    daily.main(["--root", warehouse.root, "--source", str(folder), "--new-files", "load"])
+    daily.main(["--root", warehouse.root, "--new-files", "marts"])
+    assert warehouse.read_one(MARTS, "fact_trip").count() == 3
+
+
+def test_shuffles_grow_with_the_table(spark):
+    from hackney.session import size_shuffles
+
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert size_shuffles(spark, spark.range(10)) == least
+    assert size_shuffles(spark, spark.range(10**10)) == 8 * 10**10 // (128 * 1024 * 1024)
+    assert size_shuffles(spark, spark.range(10**14)) == 50_000
+    assert size_shuffles(spark, spark.range(10)) == least

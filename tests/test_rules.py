@@ -322,3 +322,30 @@ def test_staged_columns(spark):
     assert len(m.stg_datetime.columns) == 14 and len(m.dim_datetime.columns) == 16
     assert m.stg_locations.columns == ["longitude", "latitude", "lat_bucket", "lon_bucket"]
     assert staging.NUMBERS[0] == "pickup_longitude"
+
+
+def test_efficiency_of_trips_that_do_not_vary(spark):
+    one, every = metrics.trip_efficiency(metrics.located_trips(model(spark, {}).valid_trips)).orderBy("is_all_trips").collect()
+    assert (one.borough, one.trips, one.average_trip_distance, one.corr_distance_fare) == ("Manhattan", 1, 2.0, None)
+    assert (every.borough, every.is_all_trips, every.trips) == (None, True, 1)
+
+
+def test_efficiency_leaves_out_pairs_with_a_missing_value(spark):
+    trips_given = [{"trip_distance": d, "total_amount": t} for d, t in (("1", "10"), ("2", "20"), ("3", "30"), ("x", "500"), ("9", "x"))]
+    rows = metrics.trip_efficiency(metrics.located_trips(model(spark, *trips_given).valid_trips)).collect()
+    assert {row.corr_distance_fare for row in rows} == {1.0}
+    assert {row.average_trip_distance for row in rows} == {3.75}
+
+
+def test_metrics_of_no_trips(spark):
+    m = model(spark, {"trip_distance": "0"})
+    kpi = metrics.kpi_summary(m.fact_trip).first()
+    assert (kpi.total_trips, kpi.total_revenue, kpi.average_fare, kpi.tip_percentage_of_fares) == (0, None, None, None)
+    assert metrics.trips_by_borough(m.fact_trip, m.dim_location).count() == 0
+    assert metrics.fare_by_borough(metrics.located_trips(m.valid_trips)).count() == 0
+
+
+def test_metrics_of_free_trips(spark):
+    m = model(spark, {"fare_amount": "0", "tip_amount": "1"})
+    kpi = metrics.kpi_summary(m.fact_trip).first()
+    assert (kpi.total_trips, kpi.average_tip_percentage, kpi.tip_percentage_of_fares) == (1, None, None)
