@@ -27,6 +27,12 @@ def time_of_day(timestamp: Column) -> Column:
     return name.otherwise(OTHER_DAY_PART)
 
 
+def start_of_hour(timestamp: Column) -> Column:
+    """The full hour at or before a time; unlike `date_trunc` it stays without a time zone."""
+    hours = F.make_dt_interval(hours=F.hour(timestamp))
+    return timestamp.cast("date").cast("timestamp_ntz") + hours
+
+
 def datetime_attributes(timestamp: Column) -> dict[str, Column]:
     """The descriptive columns of a pickup time, by name."""
     return {

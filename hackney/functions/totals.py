@@ -23,7 +23,7 @@ def _parts(name: str) -> tuple[str, str, str]:
     return f"{name}_count", f"{name}_units", f"{name}_large"
 
 
-def group_parts(trips: DataFrame, by: list[Column], amounts: list[str]) -> DataFrame:
+def group_parts(trips: DataFrame, by: list[Column | str], amounts: list[str]) -> DataFrame:
     """Trip count and the parts of each amount, per group."""
     aggregates = [F.count(F.lit(1)).alias("trips")]
     for name in amounts:
@@ -38,10 +38,16 @@ def group_parts(trips: DataFrame, by: list[Column], amounts: list[str]) -> DataF
     return trips.groupBy(*by).agg(*aggregates)
 
 
-def regroup_parts(parts: DataFrame, by: list[str], amounts: list[str]) -> DataFrame:
+def regroup_parts(parts: DataFrame, by: list[Column | str], amounts: list[str]) -> DataFrame:
     """Parts of coarser groups from parts of finer ones."""
-    names = ["trips"] + [part for name in amounts for part in _parts(name)]
-    return parts.groupBy(*by).agg(*(F.sum(name).alias(name) for name in names))
+    sums = [F.sum(part).alias(part) for name in amounts for part in _parts(name)]
+    return parts.groupBy(*by).agg(F.coalesce(F.sum("trips"), F.lit(0)).alias("trips"), *sums)
+
+
+def parts_by(source: DataFrame, by: list[Column | str], amounts: list[str]) -> DataFrame:
+    """Parts per group of a source that is either trips or parts of finer groups."""
+    group = regroup_parts if "trips" in source.columns else group_parts
+    return group(source, by, amounts)
 
 
 def total(name: str) -> Column:

@@ -4,6 +4,9 @@ Every function groups the trips before it joins: by the key of the dimension
 where a join is needed, so that the join sees one row per key, and directly by
 the attribute where the trip's own columns give it. The number of groups after
 that is small and fixed, except for the grid.
+
+Where many numbers are wanted, the trips are grouped once into cells, and the
+functions that take a `source` are given the cells in place of the trips.
 """
 
 from __future__ import annotations
@@ -11,20 +14,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hackney.functions.dayparts import day_of_week_number, time_of_day
+from hackney.functions.dayparts import day_of_week_number, start_of_hour, time_of_day
 from hackney.functions.measures import round_to_cents
 from hackney.functions.places import borough_of_trip, grid_bucket, is_located
-from hackney.functions.totals import average, group_parts, regroup_parts, total
+from hackney.functions.totals import average, group_parts, parts_by, regroup_parts, total
+
+
+_CELL_AMOUNTS = [
+    "total_amount",
+    "trip_distance",
+    "trip_duration_minutes",
+    "tip_percentage",
+    "tip_amount",
+    "fare_amount",
+]
+_PLACE_AMOUNTS = ["total_amount", "fare_amount"]
+
+
+def hourly_cells(fact: DataFrame) -> DataFrame:
+    """The fact grouped by pickup hour, payment type and rate code, for all numbers that need no place."""
+    return group_parts(
+        fact,
+        [start_of_hour(F.col("pickup_datetime")).alias("pickup_datetime"), "payment_type_key", "rate_code_key"],
+        _CELL_AMOUNTS,
+    )
+
 
+def place_cells(located: DataFrame) -> DataFrame:
+    """Located trips grouped by borough and grid cell."""
+    return group_parts(located, ["borough", "lat_bucket", "lon_bucket"], _PLACE_AMOUNTS)
 
-def kpi_summary(fact: DataFrame) -> DataFrame:
+
+def kpi_summary(source: DataFrame) -> DataFrame:
     """One row of headline numbers. The average fare is the mean of the whole amount paid.
 
     The average tip is given in both readings: the mean of the trips' tip
     percentages, and all tips as a percentage of all fares.
     """
-    amounts = ["total_amount", "trip_distance", "trip_duration_minutes", "tip_percentage", "tip_amount", "fare_amount"]
-    return group_parts(fact, [], amounts).select(
+    return parts_by(source, [], _CELL_AMOUNTS).select(
         total("total_amount").alias("total_revenue"),
         F.col("trips").alias("total_trips"),
         average("total_amount").alias("average_fare"),
@@ -50,7 +77,7 @@ def location_parts(fact: DataFrame, dim_location: DataFrame, amounts: list[str])
     of the group step, so no place is heavy in the join. The dimension grows
     with the data and is not broadcast by hint.
     """
-    by_key = group_parts(fact, [F.col("pickup_location_key")], amounts)
+    by_key = group_parts(fact, ["pickup_location_key"], amounts)
     boroughs = dim_location.select(F.col("location_key").alias("pickup_location_key"), "borough")
     return regroup_parts(by_key.join(boroughs, "pickup_location_key", "left"), ["borough"], amounts)
 
@@ -77,9 +104,8 @@ def trips_by_borough(fact: DataFrame, dim_location: DataFrame) -> DataFrame:
     return with_share(location_parts(fact, dim_location, []).select("borough", "trips"))
 
 
-def fare_by_borough(located: DataFrame) -> DataFrame:
-    parts = group_parts(located, [F.col("borough")], ["total_amount", "fare_amount"])
-    return parts.select(
+def fare_by_borough(source: DataFrame) -> DataFrame:
+    return parts_by(source, ["borough"], _PLACE_AMOUNTS).select(
         "borough",
         "trips",
         average("total_amount").alias("average_fare"),
@@ -87,29 +113,29 @@ def fare_by_borough(located: DataFrame) -> DataFrame:
     )
 
 
-def trips_by_time_of_day(fact: DataFrame) -> DataFrame:
+def trips_by_time_of_day(source: DataFrame) -> DataFrame:
     """The part of the day follows from the fact's pickup time, so the time dimension is not joined."""
     part = time_of_day(F.col("pickup_datetime")).alias("time_of_day")
-    return with_share(group_parts(fact, [part], []))
+    return with_share(parts_by(source, [part], []))
 
 
-def fare_by_time_of_day(fact: DataFrame) -> DataFrame:
+def fare_by_time_of_day(source: DataFrame) -> DataFrame:
     part = time_of_day(F.col("pickup_datetime")).alias("time_of_day")
-    return group_parts(fact, [part], ["total_amount"]).select(
+    return parts_by(source, [part], ["total_amount"]).select(
         "time_of_day", "trips", average("total_amount").alias("average_fare")
     )
 
 
-def _parts_by_code(fact: DataFrame, dimension: DataFrame, key: str, name: str, amounts: list[str]) -> DataFrame:
-    by_key = group_parts(fact, [F.col(key)], amounts)
+def _parts_by_code(source: DataFrame, dimension: DataFrame, key: str, name: str, amounts: list[str]) -> DataFrame:
+    by_key = parts_by(source, [key], amounts)
     names = F.broadcast(dimension.select(key, name))
     return regroup_parts(by_key.join(names, key, "left"), [name], amounts)
 
 
-def tips_by_payment_type(fact: DataFrame, dim_payment_type: DataFrame) -> DataFrame:
+def tips_by_payment_type(source: DataFrame, dim_payment_type: DataFrame) -> DataFrame:
     """Trips and tips per payment type; trips with an unknown code are in a row without a name."""
     amounts = ["tip_amount", "tip_percentage"]
-    parts = _parts_by_code(fact, dim_payment_type, "payment_type_key", "payment_type_name", amounts)
+    parts = _parts_by_code(source, dim_payment_type, "payment_type_key", "payment_type_name", amounts)
     return parts.select(
         "payment_type_name",
         "trips",
@@ -119,10 +145,10 @@ def tips_by_payment_type(fact: DataFrame, dim_payment_type: DataFrame) -> DataFr
     )
 
 
-def revenue_by_rate_code(fact: DataFrame, dim_rate_code: DataFrame) -> DataFrame:
+def revenue_by_rate_code(source: DataFrame, dim_rate_code: DataFrame) -> DataFrame:
     """Trips and earnings per rate code; trips with an unknown code are in a row without a name."""
     amounts = ["total_amount", "fare_amount"]
-    parts = _parts_by_code(fact, dim_rate_code, "rate_code_key", "rate_code_name", amounts)
+    parts = _parts_by_code(source, dim_rate_code, "rate_code_key", "rate_code_name", amounts)
     return parts.select(
         "rate_code_name",
         "trips",
@@ -132,18 +158,18 @@ def revenue_by_rate_code(fact: DataFrame, dim_rate_code: DataFrame) -> DataFrame
     )
 
 
-def demand_by_day_hour(fact: DataFrame) -> DataFrame:
+def demand_by_day_hour(source: DataFrame) -> DataFrame:
     pickup = F.col("pickup_datetime")
     by = [
         day_of_week_number(pickup).alias("day_of_week_number"),
         F.dayname(pickup).alias("day_of_week_name"),
         F.hour(pickup).alias("pickup_hour"),
     ]
-    return group_parts(fact, by, [])
+    return parts_by(source, by, [])
 
 
-def demand_by_grid(located: DataFrame) -> DataFrame:
-    return group_parts(located, [F.col("lat_bucket"), F.col("lon_bucket")], [])
+def demand_by_grid(source: DataFrame) -> DataFrame:
+    return parts_by(source, ["lat_bucket", "lon_bucket"], [])
 
 
 def _correlation(x: Column, y: Column) -> Column:
@@ -185,6 +211,6 @@ def trip_route_boroughs(fact: DataFrame, dim_location: DataFrame) -> DataFrame:
     """
     dropoff = dim_location.select(F.col("location_key").alias("dropoff_location_key"), F.col("borough").alias("dropoff_borough"))
     pickup = dim_location.select(F.col("location_key").alias("pickup_location_key"), F.col("borough").alias("pickup_borough"))
-    pairs = group_parts(fact, [F.col("pickup_location_key"), F.col("dropoff_location_key")], [])
+    pairs = group_parts(fact, ["pickup_location_key", "dropoff_location_key"], [])
     half = regroup_parts(pairs.join(dropoff, "dropoff_location_key", "left"), ["pickup_location_key", "dropoff_borough"], [])
     return regroup_parts(half.join(pickup, "pickup_location_key", "left"), ["pickup_borough", "dropoff_borough"], [])

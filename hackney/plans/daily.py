@@ -112,34 +112,29 @@ def check_marts(warehouse: Warehouse) -> None:
     quality.require_all_passed(warehouse.read_one(AUDIT, QUALITY_REPORT))
 
 
-def mart_metrics(marts: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The metrics that the mart tables alone can answer, by name."""
+def publish_metrics(warehouse: Warehouse, model: Model) -> None:
+    """Publishes all metrics. The trips are read once for each kind of cells; most metrics then read the cells."""
+    size_shuffles(warehouse.spark, model.raw)
+    marts = read_marts(warehouse)
     fact, places = marts["fact_trip"], marts["dim_location"]
-    return {
-        "kpi_summary": metrics.kpi_summary(fact),
+    located = metrics.located_trips(model.valid_trips)
+    cells = {"hourly_cells": metrics.hourly_cells(fact), "place_cells": metrics.place_cells(located)}
+    warehouse.publish(METRICS, cells)
+    by_hour, by_place = warehouse.read(METRICS, *cells)
+    answers = {
+        "kpi_summary": metrics.kpi_summary(by_hour),
+        "trips_by_time_of_day": metrics.trips_by_time_of_day(by_hour),
+        "fare_by_time_of_day": metrics.fare_by_time_of_day(by_hour),
+        "tips_by_payment_type": metrics.tips_by_payment_type(by_hour, marts["dim_payment_type"]),
+        "revenue_by_rate_code": metrics.revenue_by_rate_code(by_hour, marts["dim_rate_code"]),
+        "demand_by_day_hour": metrics.demand_by_day_hour(by_hour),
+        "fare_by_borough": metrics.fare_by_borough(by_place),
+        "demand_by_grid": metrics.demand_by_grid(by_place),
         "trips_by_borough": metrics.trips_by_borough(fact, places),
-        "trips_by_time_of_day": metrics.trips_by_time_of_day(fact),
-        "fare_by_time_of_day": metrics.fare_by_time_of_day(fact),
-        "tips_by_payment_type": metrics.tips_by_payment_type(fact, marts["dim_payment_type"]),
-        "revenue_by_rate_code": metrics.revenue_by_rate_code(fact, marts["dim_rate_code"]),
-        "demand_by_day_hour": metrics.demand_by_day_hour(fact),
         "trip_route_boroughs": metrics.trip_route_boroughs(fact, places),
-    }
-
-
-def place_metrics(located: DataFrame) -> dict[str, DataFrame]:
-    """The metrics by place, which need the coordinates of the staged trips."""
-    return {
-        "fare_by_borough": metrics.fare_by_borough(located),
-        "demand_by_grid": metrics.demand_by_grid(located),
         "trip_efficiency": metrics.trip_efficiency(located),
     }
-
-
-def publish_metrics(warehouse: Warehouse, model: Model) -> None:
-    size_shuffles(warehouse.spark, model.raw)
-    located = metrics.located_trips(model.valid_trips)
-    warehouse.publish(METRICS, mart_metrics(read_marts(warehouse)) | place_metrics(located))
+    warehouse.publish(METRICS, answers)
 
 
 def daily_run(warehouse: Warehouse, source: str, new_files_only: bool = False) -> None:

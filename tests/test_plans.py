@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA
-from hackney.operators import quality
+from hackney.operators import metrics, quality
 from hackney.plans import control, daily
 from hackney.plans.warehouse import AUDIT, CONTROL, MARTS, QUARANTINE, RAW, NotPublished, Warehouse, schema_name
 from hackney.schemas import AUDIT_SCHEMA, BOOKMARK_SCHEMA, RAW_COLUMNS, RAW_SCHEMA, SOURCE_COLUMNS
@@ -131,6 +131,20 @@ def test_daily_run_on_clean_trips(spark, warehouse, tmp_path):
     assert warehouse.read_one(AUDIT, daily.QUALITY_REPORT).filter("failures = 0").count() == 19
     kpi = warehouse.read_one(daily.METRICS, "kpi_summary").first()
     assert kpi.total_trips == fact.count()
+    # Metrics made of cells are those made of the trips.
+    marts = daily.read_marts(warehouse)
+    direct = {
+        "kpi_summary": metrics.kpi_summary(fact),
+        "trips_by_time_of_day": metrics.trips_by_time_of_day(fact),
+        "fare_by_time_of_day": metrics.fare_by_time_of_day(fact),
+        "tips_by_payment_type": metrics.tips_by_payment_type(fact, marts["dim_payment_type"]),
+        "revenue_by_rate_code": metrics.revenue_by_rate_code(fact, marts["dim_rate_code"]),
+        "demand_by_day_hour": metrics.demand_by_day_hour(fact),
+        "fare_by_borough": metrics.fare_by_borough(metrics.located_trips(daily.full_model(warehouse).valid_trips)),
+    }
+    for name, frame in direct.items():
+        published = warehouse.read_one(daily.METRICS, name)
+        assert sorted(map(repr, published.collect())) == sorted(map(repr, frame.collect())), name
     assert spark.table(f"{schema_name(MARTS)}.fact_trip").count() == fact.count()
     assert spark.table("STAGING_stg_trips").count() == run.rows_loaded
     # All stages again: the load is skipped and the same tables come out.
