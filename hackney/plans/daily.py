@@ -149,6 +149,7 @@ def daily_run(warehouse: Warehouse, source: str, new_files_only: bool = False) -
     check_marts(warehouse)
     publish_metrics(warehouse, model)
     warehouse.register()
+    warehouse.drop_old_versions()
 
 
 def main(arguments: list[str] | None = None) -> None:

@@ -1,6 +1,9 @@
 """Single rules on hand-made rows."""
 
-from datetime import datetime
+import random
+import re
+from datetime import datetime, timedelta
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -349,3 +352,45 @@ def test_metrics_of_free_trips(spark):
     m = model(spark, {"fare_amount": "0", "tip_amount": "1"})
     kpi = metrics.kpi_summary(m.fact_trip).first()
     assert (kpi.total_trips, kpi.average_tip_percentage, kpi.tip_percentage_of_fares) == (1, None, None)
+
+
+def test_random_texts_as_numbers(spark):
+    chance = random.Random(1)
+    texts = ["".join(chance.choice("0123456789.+-eE dfxN") for _ in range(chance.randint(1, 6))) for _ in range(4000)]
+    number = re.compile(r"\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d{1,2})?\s*", re.ASCII)
+    expected = [float(text) if number.fullmatch(text) else None for text in texts]
+    given = [(text, want) for text, want in zip(texts, expected) if not re.search(r"[eE][+-]?\d{3}", text)]
+    assert sum(want is not None for _, want in given) > 300
+    assert values(spark, [text for text, _ in given], to_double) == [want for _, want in given]
+
+
+def test_random_numbers_rounded(spark):
+    chance = random.Random(2)
+    numbers = [chance.choice([1, -1]) * chance.randint(0, 10**6) / 8 for _ in range(1000)]
+    numbers += [chance.uniform(-1e9, 1e9) for _ in range(1000)]
+    expected = [float(Decimal(number).quantize(Decimal(1), rounding=ROUND_HALF_UP)) for number in numbers]
+    assert values(spark, numbers, round_half_away, "double") == expected
+
+
+def test_random_durations(spark):
+    chance = random.Random(3)
+    start = datetime(1965, 1, 1)
+    times = [start + timedelta(seconds=chance.randint(0, 2_000_000_000)) for _ in range(1000)]
+    pairs = [(time, time + timedelta(seconds=chance.randint(-20_000, 20_000))) for time in times]
+    frame = spark.createDataFrame([(i, str(a), str(b)) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    minutes = minutes_between(to_timestamp(F.col("a")), to_timestamp(F.col("b")))
+    found = [row.m for row in frame.select("i", minutes.alias("m")).orderBy("i").collect()]
+
+    def whole_minutes(time):
+        return (time - start) // timedelta(minutes=1)
+
+    assert found == [whole_minutes(b) - whole_minutes(a) for a, b in pairs]
+
+
+def test_small_event_files_are_spread(spark):
+    from conftest import DATA
+    from hackney.sources.event_trips import trips_from_events
+
+    trips_of_file = trips_from_events(spark, f"{DATA}/sf0.001")
+    assert trips_of_file.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert trips_of_file.count() == 1000
