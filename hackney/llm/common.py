@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Stands for a null doc_id where ids are packed into arrays.
 NULL_ID = -(1 << 63)
 

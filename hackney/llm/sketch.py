@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from hackney.llm.common import mix, partitions_for
 
 _BLOCK_BITS = 20
-_FLUSH = 1 << 21
+_MEMBER_HASHES = 4
+_FLUSH = 1 << 22
 
 
 def width_bits(hashes: int, per_hash: int, most_bits: int) -> int:
@@ -97,7 +98,7 @@ class Repeats:
 
     def maybe(self, hashes: np.ndarray) -> np.ndarray:
         """For each hash whether it may be a repeated one."""
-        array = self._hit_twice.value
+        array = np.frombuffer(self._hit_twice.value, np.uint8)
         left = np.arange(len(hashes))
         for row in range(self.rows):
             cell = _cells(hashes[left], row, self.bits, self.shared)
@@ -107,9 +108,6 @@ class Repeats:
         found[left] = True
         return found
 
-    def maybe_at_least(self) -> int:
-        return len(self._hit_twice.value)
-
 
 def repeats(
     frame: DataFrame,
@@ -142,8 +140,19 @@ def repeats(
         .sortWithinPartitions("block")
         .mapInArrow(_merged, "block int, bits binary")
     )
-    array = np.zeros((1 if shared else rows) << (bits - 3), np.uint8)
+    array = bytearray((1 if shared else rows) << (bits - 3))
     size = 1 << (_BLOCK_BITS - 3)
     for row in merged.toLocalIterator():
-        array[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
-    return Repeats(rows, bits, shared, frame.sparkSession.sparkContext.broadcast(array))
+        array[row["block"] * size : (row["block"] + 1) * size] = row["bits"]
+    # As bytes, a worker reads it without a second copy.
+    return Repeats(rows, bits, shared, frame.sparkSession.sparkContext.broadcast(bytes(array)))
+
+
+def members(frame: DataFrame, hashes_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], *, bits: int) -> Repeats:
+    """A filter that `maybe` passes all hashes of the frame, and others by chance: each is counted twice."""
+
+    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for hashes in hashes_of(batches):
+            yield np.concatenate([hashes, hashes])
+
+    return repeats(frame, twice, rows=_MEMBER_HASHES, bits=bits, shared=True)

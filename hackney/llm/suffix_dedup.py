@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from hackney.llm import sketch
 from hackney.llm.common import Ranges, keyed_texts, mix, partitions_for, slices, texts
+from hackney.llm.marks import with_marks
 from hackney.llm.substring_dedup import by_place, message, runs_of, text_bytes
 from hackney.llm.suffixes import permuted_common_prefixes, suffix_array
 
@@ -331,7 +332,7 @@ def _spans(starts: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """key, tie and marks (packed starts and ends of bytes that an earlier place holds too) of the documents that have some."""
+    """key, tie and mark: packed starts and ends of bytes that an earlier place holds too; a document may have several rows."""
     rows = keyed_texts(docs).select("key", "tie", "text")
     size = text_bytes(rows)
     bits = sketch.width_bits(int(size * CELLS_PER_BYTE), 1, MOST_BITS)
@@ -340,13 +341,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     frequent = _frequent(plain, length)
     buckets = max(partitions_for(docs), size // BYTES_PER_SHARD + 1)
     sent = rows.mapInArrow(_send(counted, frequent, length, buckets), _SENT)
-    settled = sent.groupBy("bucket").applyInArrow(_settle(length), "key long, tie long, mark binary")
-    return settled.groupBy("key", "tie").agg(F.collect_list("mark").alias("marks"))
+    return sent.groupBy("bucket").applyInArrow(_settle(length), "key long, tie long, mark binary")
 
 
 def kept_bytes(docs: DataFrame, length: int = LENGTH, digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the kept bytes (or their SHA-256) of every row."""
-    rows = keyed_texts(docs).join(repeated_spans(docs, length), ["key", "tie"], "left").select("doc_id", "text", "marks")
     name, kind = ("kept_sha256", pa.string()) if digest else ("kept", pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,5 +371,5 @@ def kept_bytes(docs: DataFrame, length: int = LENGTH, digest: bool = False) -> D
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", name],
             )
 
-    id_kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {id_kind}, n_bytes long, n_removed long, n_spans long, {name} {'string' if digest else 'binary'}")
+    columns = f"n_bytes long, n_removed long, n_spans long, {name} {'string' if digest else 'binary'}"
+    return with_marks(docs, repeated_spans(docs, length), run, columns)
