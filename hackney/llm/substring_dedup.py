@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from hackney.llm import sketch
 from hackney.llm.common import keyed_texts, partitions_for, slices, texts
+from hackney.llm.marks import PACKED, packed, with_marks
 from hackney.llm.words import Words, run_hashes, window_starts
 
 WINDOW = 20
@@ -38,7 +39,8 @@ MOST_BITS = 30
 #: Bytes of text for which there is one group of windows to compare in the second pass.
 BYTES_PER_GROUP = 16 << 20
 
-_SENT = "bucket int, key long, tie long, mark binary, hash binary, more binary, doc binary, place binary, keys binary, ties binary"
+# Marks that are settled already travel with the windows, in rows without hashes.
+_SENT = "bucket int, hash binary, more binary, doc binary, place binary, keys binary, ties binary, counts binary, marks binary"
 _NAMES = [column.split()[0] for column in _SENT.split(", ")]
 
 
@@ -92,7 +94,12 @@ def message(rows: list[dict], names: list[str], kinds: list[pa.DataType]) -> pa.
     )
 
 
-_KINDS = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 7]
+def settled_rows(keys: np.ndarray, ties: np.ndarray, marks: np.ndarray, buckets: int) -> list[dict]:
+    """Marks in rows of a task's message; a group's row goes to the bucket of the group's number."""
+    return [{"bucket": row["group"], **row} for row in packed(keys, ties, marks, buckets).to_pylist()]
+
+
+_KINDS = [pa.int32(), *[pa.binary()] * 8]
 
 
 def _send(repeats: sketch.Repeats, width: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -117,16 +124,8 @@ def _send(repeats: sketch.Repeats, width: int, buckets: int) -> Callable[[Iterat
             again = ~first & ~((rank[owner[order]] == rank[owner[leader]]) & (place[order] == place[leader]))
             rows = []
             later = np.sort(order[again])
-            for start, end in runs_of(owner[later]):
-                row = owner[later[start]]
-                rows.append(
-                    {
-                        "bucket": int(keys[row] % buckets),
-                        "key": int(keys[row]),
-                        "tie": int(ties[row]),
-                        "mark": place[later[start:end]].astype(np.uint32).tobytes(),
-                    }
-                )
+            row = owner[later]
+            rows += settled_rows(keys[row], ties[row], place[later].astype(np.uint32), buckets)
             own = order[first]
             bucket = (hash_[own] >> np.uint64(32)).astype(np.int64) * buckets >> 32
             for start, end in runs_of(bucket):
@@ -155,58 +154,54 @@ def runs_of(values: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from zip([0, *edges.tolist()], [*edges.tolist(), len(values)], strict=True)
 
 
-def _settle(table: pa.Table) -> pa.Table:
-    """All occurrences of a bucket but the first of each window, by document; settled ones pass."""
-    sent = table.filter(pa.compute.is_valid(table.column("hash")))
-    passed = table.filter(pa.compute.is_null(table.column("hash"))).select(["key", "tie", "mark"])
-    if not sent.num_rows:
-        return passed
-
-    def column(name: str, kind) -> list[np.ndarray]:
-        return [np.frombuffer(value, kind) for value in sent.column(name).to_pylist()]
-
-    docs = column("doc", np.uint32)
-    key = np.concatenate([keys[doc] for keys, doc in zip(column("keys", np.int64), docs, strict=True)])
-    tie = np.concatenate([ties[doc] for ties, doc in zip(column("ties", np.int64), docs, strict=True)])
-    hash_, more = np.concatenate(column("hash", np.uint64)), np.concatenate(column("more", np.uint32))
-    place = np.concatenate(column("place", np.uint32))
-    by = np.lexsort((place, tie, key))
-    key, tie, hash_, more, place = key[by], tie[by], hash_[by], more[by], place[by]
-    order, first = first_of_equal([hash_, more])
-    leader = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-    same = (key[order] == key[leader]) & (tie[order] == tie[leader]) & (place[order] == place[leader])
-    later = np.sort(order[~first & ~same])
-    key, tie, place = key[later], tie[later], place[later]
-    new = np.ones(len(key), bool)
-    new[1:] = (np.diff(key) != 0) | (np.diff(tie) != 0)
-    edges = [*np.flatnonzero(new).tolist(), len(key)]
-    spans = list(zip(edges[:-1], edges[1:], strict=True))
-    marked = pa.table(
-        [
-            pa.array([key[start] for start, _ in spans], pa.int64()),
-            pa.array([tie[start] for start, _ in spans], pa.int64()),
-            pa.array([place[start:end].tobytes() for start, end in spans], pa.binary()),
-        ],
-        names=["key", "tie", "mark"],
-    )
-    return pa.concat_tables([passed, marked])
+def settled_part(table: pa.Table) -> pa.Table:
+    """The rows of a bucket that are settled already."""
+    passed = table.filter(pa.compute.is_valid(table.column("counts")))
+    return passed.select(["bucket", "keys", "ties", "counts", "marks"]).rename_columns(["group", "keys", "ties", "counts", "marks"])
+
+
+def _settle(buckets: int) -> Callable[[pa.Table], pa.Table]:
+    """All occurrences of a bucket but the first of each window; settled ones pass."""
+
+    def run(table: pa.Table) -> pa.Table:
+        passed = settled_part(table)
+        sent = table.filter(pa.compute.is_valid(table.column("hash")))
+        if not sent.num_rows:
+            return passed
+
+        def column(name: str, kind) -> list[np.ndarray]:
+            return [np.frombuffer(value, kind) for value in sent.column(name).to_pylist()]
+
+        docs = column("doc", np.uint32)
+        key = np.concatenate([keys[doc] for keys, doc in zip(column("keys", np.int64), docs, strict=True)])
+        tie = np.concatenate([ties[doc] for ties, doc in zip(column("ties", np.int64), docs, strict=True)])
+        hash_, more = np.concatenate(column("hash", np.uint64)), np.concatenate(column("more", np.uint32))
+        place = np.concatenate(column("place", np.uint32))
+        by = np.lexsort((place, tie, key))
+        key, tie, hash_, more, place = key[by], tie[by], hash_[by], more[by], place[by]
+        order, first = first_of_equal([hash_, more])
+        leader = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+        same = (key[order] == key[leader]) & (tie[order] == tie[leader]) & (place[order] == place[leader])
+        later = np.sort(order[~first & ~same])
+        found = packed(key[later], tie[later], place[later], buckets)
+        return pa.concat_tables([passed, pa.Table.from_batches([found])])
+
+    return run
 
 
 def repeated_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """key, tie and marks (first words of windows that also start earlier, packed) of the documents that have some."""
+    """Packed first words of windows that also start earlier."""
     rows = keyed_texts(docs).select("key", "tie", "text")
     size = text_bytes(rows)
     bits = sketch.width_bits(int(size * CELLS_PER_BYTE), 1, MOST_BITS)
     counted = sketch.repeats(texts(docs).select("text"), window_hashes(width), rows=SKETCH_ROWS, bits=bits)
     buckets = max(partitions_for(docs), size // BYTES_PER_GROUP + 1)
     sent = rows.mapInArrow(_send(counted, width, buckets), _SENT)
-    settled = sent.groupBy("bucket").applyInArrow(_settle, "key long, tie long, mark binary")
-    return settled.groupBy("key", "tie").agg(F.collect_list("mark").alias("marks"))
+    return sent.groupBy("bucket").applyInArrow(_settle(buckets), PACKED)
 
 
 def kept_words(docs: DataFrame, width: int = WINDOW, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by a space (or the SHA-256 of that) of every row."""
-    rows = keyed_texts(docs).join(repeated_windows(docs, width), ["key", "tie"], "left").select("doc_id", "text", "marks")
     name = "kept_sha256" if digest else "kept"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,9 +209,9 @@ def kept_words(docs: DataFrame, width: int = WINDOW, digest: bool = False) -> Da
             words = Words(data, offsets)
             removed = np.zeros(len(words.starts) + 1, np.int64)
             for i, marks in enumerate(batch.column("marks").to_pylist()):
-                for mark in marks or ():
-                    at = np.frombuffer(mark, np.uint32).astype(np.int64) + words.first[i]
-                    removed[at] += 1
+                if marks:
+                    at = np.frombuffer(marks, np.uint32).astype(np.int64) + words.first[i]
+                    np.add.at(removed, at, 1)
                     np.subtract.at(removed, at + width, 1)
             gone = np.cumsum(removed)[:-1] > 0
             kept, lost = [], []
@@ -231,5 +226,4 @@ def kept_words(docs: DataFrame, width: int = WINDOW, digest: bool = False) -> Da
                 names=["doc_id", "n_words", "n_removed", name],
             )
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, {name} string")
+    return with_marks(docs, repeated_windows(docs, width), run, f"n_words long, n_removed long, {name} string")

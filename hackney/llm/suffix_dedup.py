@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 
 from hackney.llm import sketch
 from hackney.llm.common import Ranges, keyed_texts, mix, partitions_for, slices, texts
-from hackney.llm.marks import with_marks
-from hackney.llm.substring_dedup import by_place, message, runs_of, text_bytes
+from hackney.llm.marks import PACKED, packed, with_marks
+from hackney.llm.substring_dedup import by_place, message, runs_of, settled_part, settled_rows, text_bytes
 from hackney.llm.suffixes import permuted_common_prefixes, suffix_array
 
 LENGTH = 100
@@ -58,9 +58,13 @@ BYTES_PER_SHARD = 16 << 20
 ARRAY_BYTES = 1 << 21
 
 _BASE = 0xA0761D6478BD642F
-_SENT = "bucket int, key long, tie long, mark binary, stretches binary, lengths binary, minimizers binary, doc binary, place binary, keys binary, ties binary"
+# Marks that are settled already travel with the stretches, in rows without them.
+_SENT = (
+    "bucket int, stretches binary, lengths binary, minimizers binary, doc binary, place binary, keys binary, ties binary, "
+    "counts binary, marks binary"
+)
 _NAMES = [column.split()[0] for column in _SENT.split(", ")]
-_KINDS = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 8]
+_KINDS = [pa.int32(), *[pa.binary()] * 9]
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -185,23 +189,16 @@ def _send(repeats: sketch.Repeats, frequent: np.ndarray, length: int, buckets: i
             keys, ties, rank = by_place(batch)
             found.sort(key=lambda s: (rank[s[3]], s[0] - offsets[s[3]]))
             first: dict[tuple, tuple] = {}
-            own, again = [], {}
+            own, again = [], []
             for start, end, minimizer, text in found:
                 place = (int(rank[text]), start - int(offsets[text]))
                 known = first.setdefault((int(minimizer), raw[start : end + length]), place)
                 if known is place:
                     own.append((start, end, minimizer, text))
                 elif known != place:
-                    again.setdefault(text, []).append((place[1], end + length - int(offsets[text])))
-            rows = [
-                {
-                    "bucket": int(keys[text] % buckets),
-                    "key": int(keys[text]),
-                    "tie": int(ties[text]),
-                    "mark": np.array(spans, np.int64).tobytes(),
-                }
-                for text, spans in again.items()
-            ]
+                    again.append((text, place[1], end + length - int(offsets[text])))
+            spans = np.array(again, np.int64).reshape(-1, 3)
+            rows = settled_rows(keys[spans[:, 0]], ties[spans[:, 0]], spans[:, 1:], buckets)
             if own:
                 start, end, text = (np.array([s[i] for s in own], np.int64) for i in (0, 1, 3))
                 minimizer = np.array([s[2] for s in own], np.uint64)
@@ -254,14 +251,14 @@ def _repeats_itself(stretch: bytes, length: int) -> bool:
     return len({stretch[i : i + length] for i in range(many)}) < many
 
 
-def _settle(length: int) -> Callable[[pa.Table], pa.Table]:
+def _settle(length: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
+        passed = settled_part(table)
         sent = table.filter(pa.compute.is_valid(table.column("lengths")))
-        passed = table.filter(pa.compute.is_null(table.column("lengths"))).select(["key", "tie", "mark"])
         unpacker = zstandard.ZstdDecompressor()
         rows = []
         for at in range(sent.num_rows):
-            of = {name: sent.column(name)[at].as_py() for name in _NAMES[4:]}
+            of = {name: sent.column(name)[at].as_py() for name in _NAMES[1:8]}
             doc = np.frombuffer(of["doc"], np.uint32)
             keys, ties = np.frombuffer(of["keys"], np.int64)[doc], np.frombuffer(of["ties"], np.int64)[doc]
             lengths = np.frombuffer(of["lengths"], np.uint32).astype(np.int64)
@@ -275,7 +272,7 @@ def _settle(length: int) -> Callable[[pa.Table], pa.Table]:
                 strict=True,
             )
         rows.sort(key=lambda row: row[:4])
-        marks: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        marks: list[tuple[int, int, int, int]] = []
         parts: list[bytes] = []
         places: list[tuple[int, int, int]] = []
 
@@ -285,7 +282,7 @@ def _settle(length: int) -> Callable[[pa.Table], pa.Table]:
             for i, starts in zip(order, _repeats_in([parts[i] for i in order], length), strict=True):
                 key, tie, place = places[i]
                 for a, b in _spans(starts, length):
-                    marks.setdefault((key, tie), []).append((place + a, place + b))
+                    marks.append((key, tie, place + a, place + b))
             parts.clear()
             places.clear()
 
@@ -299,7 +296,7 @@ def _settle(length: int) -> Callable[[pa.Table], pa.Table]:
             for _, key, tie, place, stretch in rows[begin:end]:
                 known = seen.setdefault(stretch, (key, tie, place))
                 if known != (key, tie, place):
-                    marks.setdefault((key, tie), []).append((place, place + len(stretch)))
+                    marks.append((key, tie, place, place + len(stretch)))
             if len(seen) > 1 or any(_repeats_itself(stretch, length) for stretch in seen):
                 parts += seen
                 places += seen.values()
@@ -310,15 +307,10 @@ def _settle(length: int) -> Callable[[pa.Table], pa.Table]:
             begin = end
         if parts:
             search()
-        found = pa.table(
-            [
-                pa.array([key for key, _ in marks], pa.int64()),
-                pa.array([tie for _, tie in marks], pa.int64()),
-                pa.array([np.array(spans, np.int64).tobytes() for spans in marks.values()], pa.binary()),
-            ],
-            names=["key", "tie", "mark"],
-        )
-        return pa.concat_tables([passed, found])
+        marks.sort()
+        spans = np.array(marks, np.int64).reshape(-1, 4)
+        found = packed(spans[:, 0], spans[:, 1], spans[:, 2:], buckets)
+        return pa.concat_tables([passed, pa.Table.from_batches([found])])
 
     return run
 
@@ -332,7 +324,7 @@ def _spans(starts: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """key, tie and mark: packed starts and ends of bytes that an earlier place holds too; a document may have several rows."""
+    """Packed starts and ends of bytes that an earlier place holds too."""
     rows = keyed_texts(docs).select("key", "tie", "text")
     size = text_bytes(rows)
     bits = sketch.width_bits(int(size * CELLS_PER_BYTE), 1, MOST_BITS)
@@ -341,7 +333,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     frequent = _frequent(plain, length)
     buckets = max(partitions_for(docs), size // BYTES_PER_SHARD + 1)
     sent = rows.mapInArrow(_send(counted, frequent, length, buckets), _SENT)
-    return sent.groupBy("bucket").applyInArrow(_settle(length), "key long, tie long, mark binary")
+    return sent.groupBy("bucket").applyInArrow(_settle(length, buckets), PACKED)
 
 
 def kept_bytes(docs: DataFrame, length: int = LENGTH, digest: bool = False) -> DataFrame:
@@ -354,8 +346,7 @@ def kept_bytes(docs: DataFrame, length: int = LENGTH, digest: bool = False) -> D
             sizes, lost, spans_, kept = [], [], [], []
             for begin, end, marks in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch.column("marks").to_pylist(), strict=True):
                 text = raw[begin:end]
-                gone = np.concatenate([np.frombuffer(mark, np.int64) for mark in marks or ()] or [np.zeros(0, np.int64)])
-                gone = gone.reshape(-1, 2)
+                gone = np.frombuffer(marks or b"", np.int64).reshape(-1, 2)
                 gone = gone[np.argsort(gone[:, 0], kind="stable")]
                 reach = np.maximum.accumulate(gone[:, 1]) if len(gone) else gone[:, 1]
                 new = np.flatnonzero(np.append(True, gone[1:, 0] > reach[:-1])) if len(gone) else np.zeros(0, np.int64)
