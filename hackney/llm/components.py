@@ -16,23 +16,27 @@ from pyspark.sql import functions as F
 from hackney.llm.common import checkpointed
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Edges for which there is one task between two shuffles; a small graph is not dealt over all partitions again and again.
+EDGES_PER_TASK = 250_000
+
+
+def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
-    least = checkpointed(both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("w")))
+    least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("w"))
     # u's larger neighbours go to the least of u's neighbourhood.
     return (
-        both.join(least, "u")
+        both.join(checkpointed(least.coalesce(tasks)), "u")
         .filter(F.col("v") > F.col("u"))
         .select(F.col("v").alias("u"), F.col("w").alias("v"))
-        .filter("u != v")
+        .coalesce(tasks)
         .distinct()
     )
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     # Edges lead from the larger to the smaller node.
-    least = checkpointed(edges.groupBy("u").agg(F.min("v").alias("w")))
-    smaller = edges.join(least, "u").select(F.col("v").alias("u"), F.col("w").alias("v")).filter("u != v")
+    least = checkpointed(edges.groupBy("u").agg(F.min("v").alias("w")).coalesce(tasks))
+    smaller = edges.join(least, "u").select(F.col("v").alias("u"), F.col("w").alias("v")).filter("u != v").coalesce(tasks)
     return smaller.union(least.select("u", F.col("w").alias("v"))).distinct()
 
 
@@ -49,11 +53,14 @@ def connected(links: DataFrame) -> DataFrame:
         links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
     before = _mark(edges)
+    tasks = 1 + 2 * before[0] // EDGES_PER_TASK
+    edges = edges.coalesce(tasks)
     while before[0]:
-        edges = checkpointed(_small_star(checkpointed(_large_star(edges))))
+        larger = checkpointed(_large_star(edges, tasks).coalesce(tasks))
+        edges = checkpointed(_small_star(larger, tasks).coalesce(tasks))
         after = _mark(edges)
         if after == before:
             break
         before = after
     ends = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return ends.union(edges.select("v", "v").distinct().toDF("node", "component"))
+    return checkpointed(ends.union(edges.select("v", "v").toDF("node", "component")).distinct().coalesce(tasks))

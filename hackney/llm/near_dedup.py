@@ -11,14 +11,18 @@ all. Two classes are linked when the sets share `PERCENT` of their union or more
 3. Pairs whose minima agree too seldom for a link are dropped, the others are
    confirmed on the whole sets, and the links joined to components by alternating
    large-star and small-star steps.
-4. Two members of a bucket that are in different components were not compared
-   yet. Members outside a bucket's largest component are compared, by their
-   minima, with its members of other components, in blocks of bounded size; what
-   may be linked is confirmed as above, and the components are made anew.
+4. Documents that meet in a bucket, directly or through others, are a cluster. Two
+   of a cluster that are in different components were perhaps not compared yet.
+   Those outside the cluster's largest component are compared with the others, by
+   their minima and then by their whole sets, block by block of bounded size. A
+   task reports only links that join components it has not seen joined, and the
+   components are made anew.
 
 Steps 2 and 4 together look at every pair of a bucket whose two members may be
 in different components, so no link between components is lost; links within a
-component change nothing and are not looked for.
+component change nothing and are not looked for. A cluster of which one link
+holds most members together takes time in proportion to its size; one that
+falls apart into many components that only just miss a link takes more.
 
 Rows that share doc_id and text are one document, a null doc_id is the smallest.
 Null and empty texts have no words. An empty table gives an empty result.
@@ -151,46 +155,96 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for left, right in zip(batch.column("a_shingles"), batch.column("b_shingles"), strict=True):
-            a, b = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
-            small, large = (a, b) if len(a) <= len(b) else (b, a)
-            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            both = int((large[at] == small).sum())
-            keep.append(100 * both >= PERCENT * (len(a) + len(b) - both))
+            keep.append(_similar(np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _compare_rest(table: pa.Table) -> pa.Table:
-    """Pairs of a bucket's block with the members outside the largest component that may be linked."""
-    node = table.column("node").to_numpy()
-    part = table.column("component").to_numpy()
-    outside = table.column("outside").to_numpy(zero_copy_only=False).astype(bool)
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
+def _compare_block(table: pa.Table) -> pa.Table:
+    """Links that join components, between the block's guests and its own rows."""
+    node, part = table.column("node").to_numpy(), table.column("component").to_numpy()
+    guest = table.column("guest").to_numpy(zero_copy_only=False).astype(bool)
     signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, _HASHES)
-    inside = np.flatnonzero(~outside)
-    left, right = [], []
-    for row in np.flatnonzero(outside):
-        others = inside[part[inside] != part[row]]
-        others = others[(signatures[others] == signatures[row]).sum(1) >= LEAST_AGREEING]
-        left.append(np.minimum(node[row], node[others]))
-        right.append(np.maximum(node[row], node[others]))
-    a, b = (np.concatenate(side) if side else np.zeros(0, np.int64) for side in (left, right))
-    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]).group_by(["a", "b"]).aggregate([])
+    sets = [np.frombuffer(value.as_buffer(), np.uint64) for value in table.column("shingles")]
+    sizes = np.array([len(one) for one in sets])
+    own = np.flatnonzero(~guest)
+    name = {component: i for i, component in enumerate(np.unique(part).tolist())}
+    group = np.array([name[component] for component in part.tolist()])  # components that links found here have joined
+    links = []
+    for row in np.flatnonzero(guest):
+        others = own[group[own] != group[row]]
+        least, most = np.minimum(sizes[others], sizes[row]), np.maximum(sizes[others], sizes[row])
+        others = others[100 * least >= PERCENT * most]
+        agreeing = (signatures[others] == signatures[row]).sum(1)
+        likely = agreeing >= LEAST_AGREEING
+        for other in others[likely][np.argsort(-agreeing[likely], kind="stable")]:
+            if group[other] != group[row] and _similar(sets[row], sets[other]):
+                links.append((int(node[row]), int(node[other])))
+                group[group == group[other]] = group[row]
+    return pa.table(
+        [pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"]
+    )
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and shingles (packed) of the wanted (node, key, tie); made again from the texts."""
+    wanted = checkpointed(wanted)
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    rows = keyed_texts(docs).select("key", "tie", "text").join(wanted, ["key", "tie"]).dropDuplicates(["node"])
+    return checkpointed(rows.select("node", "text").mapInArrow(_packed_sets, "node long, shingles binary"))
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a < b) that are links; the sets of their documents are made again from the texts."""
+    """The pairs that are links."""
     pairs = checkpointed(pairs)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = checkpointed(wanted.join(nodes.select("node", "key", "tie"), "node"))
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    rows = keyed_texts(docs).select("key", "tie", "text").join(wanted, ["key", "tie"]).dropDuplicates(["node"]).select("node", "text")
-    sets = checkpointed(rows.mapInArrow(_packed_sets, "node long, shingles binary"))
+    sets = _sets_of(docs, wanted.join(nodes.select("node", "key", "tie"), "node"))
     # Both sides of each join are read from files, so that Spark can split the rows of a node with many pairs.
     of = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_shingles"))
     both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "a_shingles", "b_shingles")
     return checkpointed(both.mapInArrow(_linked, "a long, b long"))
 
 
+def _rest(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, parts: DataFrame) -> DataFrame:
+    """Links between components of a cluster, from its members outside the largest component."""
+    named = (
+        clusters.withColumnRenamed("component", "cluster")
+        .join(parts, "node", "left")
+        .select("cluster", "node", F.coalesce("component", "node").alias("component"))
+    )
+    sizes = named.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    split = sizes.groupBy("cluster").agg(
+        F.max(F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n")
+    )
+    split = checkpointed(
+        split.filter("parts > 1").select(
+            "cluster",
+            F.col("largest.component").alias("largest"),
+            F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"),
+            F.ceil((F.col("n") - F.col("largest.n")) / BLOCK).cast("int").alias("guest_blocks"),
+        )
+    )
+    open_ = checkpointed(named.join(split, "cluster").join(nodes.select("node", "key", "tie", "signature"), "node"))
+    sets = _sets_of(docs, open_.select("node", "key", "tie"))
+    open_ = open_.drop("key", "tie").join(sets, "node")
+    columns = ["node", "component", "signature", "shingles"]
+    each = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+    place = lambda many: F.pmod(F.xxhash64("node"), F.col(many)).cast("int")
+    own = open_.select("cluster", place("blocks").alias("block"), each("guest_blocks").alias("guests"), F.lit(False).alias("guest"), *columns)
+    guests = open_.filter("component != largest").select(
+        "cluster", each("blocks").alias("block"), place("guest_blocks").alias("guests"), F.lit(True).alias("guest"), *columns
+    )
+    rows = own.unionByName(guests)
+    return checkpointed(rows.groupBy("cluster", "block", "guests").applyInArrow(_compare_block, "a long, b long"))
+
+
 def components(docs: DataFrame) -> DataFrame:
     """One row per row of `docs`: doc_id, key, tie, n_shingles, and the key and tie of the first document of its component."""
     signed = keyed_texts(docs).mapInArrow(
@@ -209,33 +263,15 @@ def components(docs: DataFrame) -> DataFrame:
     banded = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
     firsts = banded.groupBy("band", "bucket").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("members"))
     shared = checkpointed(firsts.filter("members > 1"))
-    members = checkpointed(banded.join(shared, ["band", "bucket"]).select("band", "bucket", "node", "a"))
+    members = banded.join(shared, ["band", "bucket"]).select("node", "a")
     signatures = classes.select("node", "signature")
     of = lambda side: signatures.select(F.col("node").alias(side), F.col("signature").alias(f"{side}_signature"))
-    to_first = members.filter("node != a").select("a", F.col("node").alias("b")).distinct()
+    to_first = checkpointed(members.filter("node != a").select("a", F.col("node").alias("b")).distinct())
     near = to_first.join(of("b"), "b").join(of("a"), "a").mapInArrow(_agreeing, "a long, b long")
     links = _confirmed(near, docs, classes)
     parts = connected(links)
 
-    named = members.join(parts, "node", "left").select(
-        "band", "bucket", "node", F.coalesce("component", "node").alias("component")
-    )
-    sizes = named.groupBy("band", "bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    split = sizes.groupBy("band", "bucket").agg(
-        F.max(F.struct("n", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n")
-    )
-    split = checkpointed(split.filter("parts > 1").select("band", "bucket", "largest", "n"))
-    open_ = named.join(split, ["band", "bucket"]).join(signatures, "node")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = open_.select(
-        "band", "bucket", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), "node", "component", "signature", F.lit(False).alias("outside")
-    )
-    guests = open_.filter("component != largest").select(
-        "band", "bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "node", "component", "signature", F.lit(True).alias("outside")
-    )
-    rest = own.unionByName(guests).groupBy("band", "bucket", "block").applyInArrow(_compare_rest, "a long, b long").distinct()
-    more = _confirmed(rest, docs, classes)
-    parts = connected(links.unionByName(more))
+    parts = connected(links.unionByName(_rest(docs, classes, connected(to_first), parts)))
 
     whole = classes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = whole.groupBy("component").agg(F.min(F.struct("key", "tie")).alias("first"))
