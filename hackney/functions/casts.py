@@ -16,9 +16,10 @@ _TIME_PATTERN = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}:\d{2}(\.\d+)?)?$"
 
 
 def to_double(text: Column) -> Column:
-    """The number written in `text`, or NULL."""
+    """The number written in `text`, or NULL; one too large for a double is NULL too."""
     only_number_characters = F.translate(text, _NUMBER_CHARACTERS, "") == ""
-    return F.when(only_number_characters, text.try_cast("double"))
+    number = text.try_cast("double")
+    return F.when(only_number_characters & (F.abs(number) < F.lit(float("inf"))), number)
 
 
 def to_timestamp(text: Column) -> Column:

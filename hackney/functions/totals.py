@@ -1,13 +1,14 @@
 """Sums and averages that do not depend on the order in which tasks add them up.
 
 A double sum changes in its last digits with the order of the partial sums, so
-two runs over the same trips can differ. Amounts are therefore counted in
-ten-thousandths as whole numbers, which add up exactly and stay in generated
-code, unlike decimals. An amount too large for that is added as a double.
-
-An average is kept as parts (a count and two sums) until the last step. Parts
-can be grouped once by a key of the fact and again by an attribute of a
-dimension, so a join carries one row per key and not one per trip.
+two runs over the same trips can differ. Amounts are therefore added as decimals
+with 18 places behind the point, which hold every digit of any usual amount, and
+only the finished sum becomes a double. There is one way for all amounts. One of
+1e20 or more does not fit; a group that has such an amount has no total.
+
+An average is kept as parts (a count and a sum) until the last step. Parts can
+be grouped once by a key of the fact and again by an attribute of a dimension,
+so a join carries one row per key and not one per trip.
 """
 
 from __future__ import annotations
@@ -15,12 +16,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_UNITS = 10_000
-_LARGEST = 1e6
+_EXACT = "decimal(38,18)"
+
+
+def exact_sum(amount: Column) -> Column:
+    """Sum whose value does not depend on the order of the rows; NULL if an amount does not fit."""
+    exact = amount.try_cast(_EXACT)
+    unfit = F.count_if(amount.isNotNull() & exact.isNull())
+    return F.when(unfit == 0, F.try_sum(exact))
 
 
 def _parts(name: str) -> tuple[str, str, str]:
-    return f"{name}_count", f"{name}_units", f"{name}_large"
+    return f"{name}_count", f"{name}_sum", f"{name}_unfit"
 
 
 def group_parts(trips: DataFrame, by: list[Column | str], amounts: list[str]) -> DataFrame:
@@ -28,19 +35,19 @@ def group_parts(trips: DataFrame, by: list[Column | str], amounts: list[str]) ->
     aggregates = [F.count(F.lit(1)).alias("trips")]
     for name in amounts:
         amount = F.col(name)
-        count, units, large = _parts(name)
-        is_small = F.abs(amount) < _LARGEST
+        exact = amount.try_cast(_EXACT)
+        count, total_, unfit = _parts(name)
         aggregates += [
             F.count(amount).alias(count),
-            F.sum(F.when(is_small, F.rint(amount * _UNITS).cast("bigint"))).alias(units),
-            F.sum(F.when(~is_small, amount.cast("double"))).alias(large),
+            F.try_sum(exact).alias(total_),
+            F.count_if(amount.isNotNull() & exact.isNull()).alias(unfit),
         ]
     return trips.groupBy(*by).agg(*aggregates)
 
 
 def regroup_parts(parts: DataFrame, by: list[Column | str], amounts: list[str]) -> DataFrame:
     """Parts of coarser groups from parts of finer ones."""
-    sums = [F.sum(part).alias(part) for name in amounts for part in _parts(name)]
+    sums = [F.try_sum(part).alias(part) for name in amounts for part in _parts(name)]
     return parts.groupBy(*by).agg(F.coalesce(F.sum("trips"), F.lit(0)).alias("trips"), *sums)
 
 
@@ -51,12 +58,11 @@ def parts_by(source: DataFrame, by: list[Column | str], amounts: list[str]) -> D
 
 
 def total(name: str) -> Column:
-    """Sum of the amount; NULL where no trip has one."""
-    count, units, large = _parts(name)
-    whole = F.coalesce(F.col(units), F.lit(0)) / _UNITS
-    return F.when(F.col(count) > 0, whole + F.coalesce(F.col(large), F.lit(0.0)))
+    """Sum of the amount; NULL where no trip has one, or where one does not fit."""
+    count, total_, unfit = _parts(name)
+    return F.when((F.col(count) > 0) & (F.col(unfit) == 0), F.col(total_).cast("double"))
 
 
 def average(name: str) -> Column:
-    """Mean of the amount; NULL where no trip has one."""
+    """Mean of the amount; NULL where there is no total."""
     return total(name) / F.nullif(F.col(_parts(name)[0]), F.lit(0))

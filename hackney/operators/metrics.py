@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from hackney.functions.dayparts import day_of_week_number, start_of_hour, time_of_day
 from hackney.functions.measures import round_to_cents
 from hackney.functions.places import borough_of_trip, grid_bucket, is_located
-from hackney.functions.totals import average, group_parts, parts_by, regroup_parts, total
+from hackney.functions.totals import average, exact_sum, group_parts, parts_by, regroup_parts, total
 
 
 _CELL_AMOUNTS = [
@@ -172,32 +172,43 @@ def demand_by_grid(source: DataFrame) -> DataFrame:
     return parts_by(source, ["lat_bucket", "lon_bucket"], [])
 
 
-def _correlation(x: Column, y: Column) -> Column:
-    """Correlation over the rows with both values; NULL where one of them does not vary.
+def _mean(x: Column) -> Column:
+    return exact_sum(x).cast("double") / F.nullif(F.count(x), F.lit(0))
 
-    Spark's own `corr` divides by zero there, which stops the query in ANSI mode.
-    """
+
+def _correlation(x: Column, y: Column) -> Column:
+    """Correlation over the rows with both values, from exact sums; NULL where one of them does not vary."""
     both = x.isNotNull() & y.isNotNull()
-    deviations = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
-    return F.try_divide(F.covar_pop(x, y), deviations)
+    x, y = F.when(both, x), F.when(both, y)
+    mean_x, mean_y = _mean(x), _mean(y)
+    covariance = _mean(x * y) - mean_x * mean_y
+    variances = (_mean(x * x) - mean_x * mean_x) * (_mean(y * y) - mean_y * mean_y)
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y)) & (variances > 0)
+    return F.when(varies, F.try_divide(covariance, F.sqrt(variances)))
 
 
 def trip_efficiency(located: DataFrame) -> DataFrame:
-    """Means of distance, duration and fare and how they move together, per borough and over all trips."""
+    """Means of distance, duration and fare and how they move together, per borough and over all trips.
+
+    All come from sums that do not depend on the order of the trips.
+    """
     distance, fare = F.col("trip_distance"), F.col("total_amount")
     minutes = F.col("trip_duration_minutes").cast("double")
-    measures = {
-        "average_trip_distance": F.avg(distance),
-        "average_trip_duration_minutes": F.avg(minutes),
-        "average_total_amount": F.avg(fare),
-        "corr_distance_duration": _correlation(distance, minutes),
-        "corr_distance_fare": _correlation(distance, fare),
-        "corr_duration_fare": _correlation(minutes, fare),
+    means = {
+        "average_trip_distance": distance,
+        "average_trip_duration_minutes": minutes,
+        "average_total_amount": fare,
+    }
+    correlations = {
+        "corr_distance_duration": (distance, minutes),
+        "corr_distance_fare": (distance, fare),
+        "corr_duration_fare": (minutes, fare),
     }
     return located.rollup("borough").agg(
         F.grouping("borough").cast("boolean").alias("is_all_trips"),
         F.count(F.lit(1)).alias("trips"),
-        *(round_to_cents(measure).alias(name) for name, measure in measures.items()),
+        *(_mean(column).alias(name) for name, column in means.items()),
+        *(round_to_cents(_correlation(*pair)).alias(name) for name, pair in correlations.items()),
     )
 
 

@@ -20,10 +20,21 @@ from hackney.schemas import (
     VENDORS,
 )
 
-_NUMBERS = (
-    "pickup_longitude pickup_latitude dropoff_longitude dropoff_latitude passenger_count trip_distance fare_amount "
-    "extra mta_tax tip_amount tolls_amount improvement_surcharge total_amount"
-).split()
+_NUMBERS = [
+    "pickup_longitude",
+    "pickup_latitude",
+    "dropoff_longitude",
+    "dropoff_latitude",
+    "passenger_count",
+    "trip_distance",
+    "fare_amount",
+    "extra",
+    "mta_tax",
+    "tip_amount",
+    "tolls_amount",
+    "improvement_surcharge",
+    "total_amount",
+]
 
 
 def _decimal(whole: str, scale: int, digits: int) -> str:
@@ -195,6 +206,19 @@ def _average(amount: str) -> str:
     return f"{_sum(amount)} / count({amount})"
 
 
+def _correlation(x: str, y: str) -> str:
+    """Over the trips with both values; missing where one of them does not vary."""
+    both = f"filter (where {x} is not null and {y} is not null)"
+
+    def mean(value: str) -> str:
+        return f"(cast(sum(cast({value} as decimal(28, 6))) {both} as double) / nullif(count(*) {both}, 0))"
+
+    variance_x, variance_y = (f"({mean(f'{v} * {v}')} - {mean(v)} * {mean(v)})" for v in (x, y))
+    varies = f"min({x}) {both} < max({x}) {both} and min({y}) {both} < max({y}) {both}"
+    return f"""round(case when {varies} then ({mean(f"{x} * {y}")} - {mean(x)} * {mean(y)})
+                  / sqrt({variance_x} * {variance_y}) end, 2)"""
+
+
 _SHARE = "round(count(*) * 100 / sum(count(*)) over (), 2) as share_of_trips"
 _LOCATED = "fact_trip left join dim_location on pickup_location_key = location_key"
 
@@ -363,12 +387,12 @@ _QUERIES = {
     "demand_by_grid": f"select lat_bucket, lon_bucket, count(*) as trips from {_LOCATED} group by 1, 2",
     "trip_efficiency": f"""
         select borough, grouping(borough) = 1 as is_all_trips, count(*) as trips,
-               round(avg(trip_distance), 2) as average_trip_distance,
-               round(avg(trip_duration_minutes), 2) as average_trip_duration_minutes,
-               round(avg(total_amount), 2) as average_total_amount,
-               round(corr(trip_distance, trip_duration_minutes), 2) as corr_distance_duration,
-               round(corr(trip_distance, total_amount), 2) as corr_distance_fare,
-               round(corr(trip_duration_minutes, total_amount), 2) as corr_duration_fare
+               {_average("trip_distance")} as average_trip_distance,
+               {_average("trip_duration_minutes")} as average_trip_duration_minutes,
+               {_average("total_amount")} as average_total_amount,
+               {_correlation("trip_distance", "trip_duration_minutes")} as corr_distance_duration,
+               {_correlation("trip_distance", "total_amount")} as corr_distance_fare,
+               {_correlation("trip_duration_minutes", "total_amount")} as corr_duration_fare
         from {_LOCATED} group by rollup (borough)""",
 }
 

@@ -17,6 +17,7 @@ from hackney.functions.totals import average, group_parts, regroup_parts, total
 from hackney.operators import metrics, quality, staging, trips
 from hackney.plans.model import Model
 from hackney.schemas import RAW_COLUMNS, RAW_SCHEMA
+from hackney.sources import lookups
 
 
 def values(spark, texts, expression, kind="string"):
@@ -272,6 +273,50 @@ def test_totals(spark):
     assert (whole.trips, whole.s) == (6, 2000000000.8)
 
 
+def test_totals_keep_every_digit(spark):
+    frame = spark.createDataFrame([(1.00004,), (1.00004,), (3e6 + 0.123456,), (1e-9,)], "x double")
+    assert group_parts(frame, [], ["x"]).select(total("x")).first()[0] == 3000002.123536001
+    unfit = spark.createDataFrame([(1.0,), (1e21,)], "x double")
+    assert group_parts(unfit, [], ["x"]).select(total("x"), average("x")).first() == (None, None)
+
+
+def test_efficiency_does_not_depend_on_the_partitions(spark):
+    trips_given = [{"fare_amount": f"{i % 97}.{i % 90 + 10}", "trip_distance": f"{i % 31}.1{i % 7}"} for i in range(400)]
+    located = metrics.located_trips(model(spark, *trips_given).valid_trips).cache()
+    found = {tuple(sorted(map(str, metrics.trip_efficiency(located.repartition(n)).collect()))) for n in (1, 2, 3, 7, 13)}
+    located.unpersist()
+    assert len(found) == 1
+
+
+def test_number_too_large_is_missing(spark):
+    texts = ["1e400", "-1e400", "1e300", "1"]
+    frame = spark.createDataFrame([(text,) for text in texts], "t string")
+    assert [row[0] for row in frame.select(to_double(F.col("t"))).collect()] == [None, None, 1e300, 1.0]
+
+
+def test_lookups_as_written_down(spark):
+    assert sorted(map(tuple, lookups.stg_vendors(spark).collect())) == [
+        ("1", "Creative Mobile Technologies (CMT)"),
+        ("2", "VeriFone Inc."),
+    ]
+    assert sorted(map(tuple, lookups.stg_rate_codes(spark).collect())) == [
+        ("1", "Standard Rate"),
+        ("2", "JFK Airport"),
+        ("3", "Newark Airport"),
+        ("4", "Nassau or Westchester"),
+        ("5", "Negotiated Fare"),
+        ("6", "Group Ride"),
+    ]
+    assert sorted(map(tuple, lookups.stg_payment_types(spark).collect())) == [
+        ("1", "Credit Card"),
+        ("2", "Cash"),
+        ("3", "No Charge"),
+        ("4", "Dispute"),
+        ("5", "Unknown"),
+        ("6", "Voided Trip"),
+    ]
+
+
 def test_joined_and_derived_boroughs_agree(spark):
     m = model(
         spark,
