@@ -22,7 +22,6 @@ SETTINGS = {
 }
 
 _BYTES_PER_PARTITION = 128 * 1024 * 1024
-_MOST_PARTITIONS = 50_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -48,12 +47,11 @@ def size_shuffles(spark: SparkSession, table: DataFrame) -> int:
     """Starts shuffles with one partition per 128 MB of the table that feeds them, as the files' sizes tell.
 
     Never fewer than the session's own number. Partitions that turn out small
-    are merged at run time, while too few large ones would spill; beyond the
-    limit the bookkeeping of a shuffle costs more than the smaller partitions save.
+    are merged at run time, while too few large ones would spill.
     """
     size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    partitions = max(least, min(size // _BYTES_PER_PARTITION, _MOST_PARTITIONS))
+    partitions = max(least, size // _BYTES_PER_PARTITION)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", partitions)
     return partitions
 

@@ -3,13 +3,20 @@
 A file stream remembers in its checkpoint which files it has read. Each call
 takes what has arrived since the last one in batches and ends. A batch that is
 repeated after a failure overwrites its own folder, so no row is loaded twice.
+The folder's name has the checkpoint's own id, so a new checkpoint, which counts
+its batches from 0 again, overwrites nothing.
+
+Every batch leaves a row in the audit log, also one that fails; a call that finds
+no new file leaves a skipped one.
 """
 
 from __future__ import annotations
 
+import logging
 import uuid
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from hackney.plans import control
@@ -17,22 +24,52 @@ from hackney.plans.warehouse import CONTROL, QUARANTINE, RAW, Warehouse
 from hackney.schemas import RAW_COLUMNS, RAW_SCHEMA
 from hackney.sources.trip_files import BAD_LINE, READ_OPTIONS, READ_SCHEMA, bad_lines, good_lines, with_lineage
 
+log = logging.getLogger(__name__)
+
 SOURCE_NAME = "trip_files"
 NEW_TRIPS = "trips_from_files"
 NEW_BAD_LINES = "bad_lines_from_files"
 
 
-def _batch_name(number: int) -> str:
-    return f"files-{number:08d}"
+class NoUsableLine(ValueError):
+    """Every line of a batch has a wrong number of cells."""
+
+
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """Made once and kept with the checkpoint."""
+    place = f"{checkpoint}/hackney_stream_id"
+    try:
+        return spark.read.text(place).first()[0]
+    except AnalysisException:
+        made = uuid.uuid4().hex[:12]
+        spark.createDataFrame([(made,)], "value string").coalesce(1).write.text(place)
+        return made
+
+
+def _batch_name(stream: str, number: int) -> str:
+    return f"files-{stream}-{number:08d}"
 
 
 def _write_part(rows: DataFrame, folder: str, batch_id: str) -> None:
     rows.drop("batch_id").write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
 
 
-def _load_batch(warehouse: Warehouse, lines: DataFrame, number: int, run_id: str) -> None:
-    batch_id = _batch_name(number)
+def _load_batch(warehouse: Warehouse, lines: DataFrame, batch_id: str, run_id: str) -> None:
     run = control.Run(run_id=run_id, started=control.now())
+    try:
+        _write_batch(warehouse, lines, batch_id, run)
+        run.status = control.SUCCESS
+    except Exception as error:
+        run.failure_reason = str(error)
+        raise
+    finally:
+        try:
+            control.log_run(warehouse, run)
+        except Exception:
+            log.exception("audit log not written, run_id=%s", run.run_id)
+
+
+def _write_batch(warehouse: Warehouse, lines: DataFrame, batch_id: str, run: control.Run) -> None:
     observation = Observation()
     counted = lines.withColumn("batch_id", F.lit(batch_id)).observe(
         observation,
@@ -44,13 +81,13 @@ def _load_batch(warehouse: Warehouse, lines: DataFrame, number: int, run_id: str
     run.rows_extracted, run.rows_rejected = counts["extracted"], counts["rejected"]
     run.rows_loaded = run.rows_extracted - run.rows_rejected
     if run.rows_rejected:
+        if not run.rows_loaded:
+            raise NoUsableLine(f"all {run.rows_rejected} lines of batch {batch_id} have a wrong number of cells")
         rejected = bad_lines(lines.withColumn("batch_id", F.lit(batch_id)))
         _write_part(rejected, warehouse.folder(QUARANTINE, NEW_BAD_LINES), batch_id)
     before = control.read_bookmark(warehouse, SOURCE_NAME, before_file=batch_id)
     loaded = before.total_rows_loaded + run.rows_loaded
     control.move_bookmark(warehouse, SOURCE_NAME, loaded, loaded, batch_id)
-    run.status = control.SUCCESS
-    control.log_run(warehouse, run)
 
 
 def load_new_files(warehouse: Warehouse, folder: str, files_per_batch: int = 1000) -> None:
@@ -62,14 +99,23 @@ def load_new_files(warehouse: Warehouse, folder: str, files_per_batch: int = 100
         .option("maxFilesPerTrigger", files_per_batch)
         .csv(folder)
     )
+    checkpoint = warehouse.folder(CONTROL, f"checkpoint_{NEW_TRIPS}")
+    stream, seen = _stream_id(spark, checkpoint), []
+
+    def load(batch: DataFrame, number: int) -> None:
+        seen.append(number)
+        _load_batch(warehouse, batch, _batch_name(stream, number), run_id)
+
     query = (
         with_lineage(lines, run_id, batch_id="")
-        .writeStream.foreachBatch(lambda batch, number: _load_batch(warehouse, batch, number, run_id))
-        .option("checkpointLocation", warehouse.folder(CONTROL, f"checkpoint_{NEW_TRIPS}"))
+        .writeStream.foreachBatch(load)
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
+    if not seen:
+        control.log_run(warehouse, control.Run(run_id=run_id, started=control.now(), status=control.SKIPPED))
 
 
 def read_new_trips(warehouse: Warehouse) -> DataFrame:

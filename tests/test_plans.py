@@ -1,3 +1,5 @@
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,7 @@ from hackney.plans.warehouse import AUDIT, CONTROL, MARTS, QUARANTINE, RAW, NotP
 from hackney.schemas import AUDIT_SCHEMA, BOOKMARK_SCHEMA, RAW_COLUMNS, RAW_SCHEMA, SOURCE_COLUMNS
 from hackney.sources.event_trips import trips_from_events
 from hackney.sources.trip_files import WrongColumnCount
-from hackney.streaming.new_files import NEW_BAD_LINES, load_new_files, read_new_trips
+from hackney.streaming.new_files import NEW_BAD_LINES, NEW_TRIPS, load_new_files, read_new_trips
 
 HEADER = ",".join(f"c{i}" for i in range(19))
 GOOD = "1,2016-03-01 10:00:00,2016-03-01 10:12:00,1,2.5,-73.98,40.75,1,N,-73.95,40.78,1,9.0,0.5,0.5,2.05,0.0,0.3,12.35"
@@ -199,7 +201,7 @@ def test_new_files_are_loaded_once(spark, warehouse, tmp_path):
     assert trips.count() == 4 and trips.columns == RAW_COLUMNS
     assert trips.select("raw_id").distinct().count() == 4
     assert {row.source_file for row in trips.collect()} == {"a.csv", "b.csv", "c.csv"}
-    assert {row.batch_id for row in trips.collect()} == {"files-00000000", "files-00000001", "files-00000002"}
+    assert {row.batch_id[-9:] for row in trips.collect()} == {"-00000000", "-00000001", "-00000002"}
     assert control.read_bookmark(warehouse, "trip_files") == control.Bookmark(4, 4)
     bad = spark.read.parquet(warehouse.folder(QUARANTINE, NEW_BAD_LINES)).collect()
     assert [row.bad_line for row in bad] == [SHORT]
@@ -208,13 +210,44 @@ def test_new_files_are_loaded_once(spark, warehouse, tmp_path):
     assert tuple(totals) == (5, 4, 1)
 
 
+def test_new_checkpoint_loses_no_trip(warehouse, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write(folder / "a.csv", GOOD, GOOD)
+    load_new_files(warehouse, str(folder))
+    shutil.move(warehouse.folder(CONTROL, f"checkpoint_{NEW_TRIPS}"), tmp_path / "old")
+    (folder / "a.csv").unlink()
+    write(folder / "b.csv", GOOD)
+    load_new_files(warehouse, str(folder))
+    assert read_new_trips(warehouse).count() == 3
+
+
+def test_new_files_without_a_usable_line_fail(warehouse, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write(folder / "a.csv", SHORT, SHORT)
+    with pytest.raises(Exception, match="wrong number of cells"):
+        load_new_files(warehouse, str(folder))
+    assert newest_run(warehouse).execution_status == control.FAILED
+
+
+def test_no_new_file_is_a_skipped_run(warehouse, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write(folder / "a.csv", GOOD)
+    load_new_files(warehouse, str(folder))
+    assert newest_run(warehouse).execution_status == control.SUCCESS
+    load_new_files(warehouse, str(folder))
+    assert newest_run(warehouse).execution_status == control.SKIPPED
+
+
 def test_repeated_batch_replaces_its_rows(spark, warehouse, tmp_path):
     from hackney.sources.trip_files import read_trip_files
     from hackney.streaming import new_files
 
     lines = read_trip_files(spark, write(tmp_path / "a.csv", GOOD, GOOD), "run", "")
     for _ in range(2):
-        new_files._load_batch(warehouse, lines, 0, "run")
+        new_files._load_batch(warehouse, lines, "files-0", "run")
     assert read_new_trips(warehouse).count() == 2
     assert control.read_bookmark(warehouse, "trip_files") == control.Bookmark(2, 2)
 
@@ -245,5 +278,5 @@ def test_shuffles_grow_with_the_table(spark):
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert size_shuffles(spark, spark.range(10)) == least
     assert size_shuffles(spark, spark.range(10**10)) == 8 * 10**10 // (128 * 1024 * 1024)
-    assert size_shuffles(spark, spark.range(10**14)) == 50_000
+    assert size_shuffles(spark, spark.range(10**14)) == 8 * 10**14 // (128 * 1024 * 1024)
     assert size_shuffles(spark, spark.range(10)) == least
