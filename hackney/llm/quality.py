@@ -38,6 +38,7 @@ SAMPLE_PIECES = 6000
 DICTIONARY_BYTES = 112_640
 LEVEL = 3
 KEEP_FROM = 0.3
+RIDGE = 0.01
 
 
 def held_out() -> Column:
@@ -52,6 +53,13 @@ def _dictionary(pieces: list[bytes]) -> bytes:
         return b"".join(pieces)[-DICTIONARY_BYTES:]
 
 
+def _build(table: pa.Table) -> pa.Table:
+    """The dictionary of one label's pieces."""
+    table = table.sort_by([("order", "ascending"), ("piece", "ascending")])
+    made = _dictionary([piece.encode("utf-8") for piece in table.column("piece").to_pylist()])
+    return pa.table([table.column("label").slice(0, 1), pa.array([made], pa.binary())], names=["label", "dictionary"])
+
+
 @functools.lru_cache(maxsize=4)
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     kind = zstandard.DICT_TYPE_AUTO
@@ -76,17 +84,32 @@ def _design(measured: np.ndarray) -> np.ndarray:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Weighted logistic regression by Newton's steps, with a small ridge."""
-    ridge = 1e-3 * np.eye(x.shape[1])
-    beta = np.zeros(x.shape[1])
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        slope = x.T @ (weights * (y - p)) - ridge @ beta
-        step = np.linalg.solve((x * (weights * p * (1 - p))[:, None]).T @ x + ridge, slope)
-        beta += step
-        if np.abs(step).max() < 1e-9:
+    """Weighted logistic regression with a ridge on scaled columns; Newton's steps, halved until the loss falls."""
+    middle, spread = x[:, 1:].mean(0), x[:, 1:].std(0) + 1e-9
+    z = np.column_stack([np.ones(len(x)), (x[:, 1:] - middle) / spread])
+    ridge = np.full(z.shape[1], RIDGE)
+    ridge[0] = 1e-6
+
+    def loss(beta: np.ndarray) -> float:
+        margin = z @ beta * (2 * y - 1)
+        return float((weights * np.logaddexp(0, -margin)).sum() + (ridge * beta * beta).sum() / 2)
+
+    beta = np.zeros(z.shape[1])
+    now = loss(beta)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+        slope = z.T @ (weights * (y - p)) - ridge * beta
+        curve = (z * (weights * p * (1 - p))[:, None]).T @ z + np.diag(ridge)
+        step = np.linalg.solve(curve, slope)
+        while loss(beta + step) > now and np.abs(step).max() > 1e-9:
+            step /= 2
+        after = loss(beta + step)
+        beta += step if after <= now else 0
+        if now - after < 1e-9 * max(1.0, now):
             break
-    return beta
+        now = after
+    scaled = beta[1:] / spread
+    return np.concatenate([[beta[0] - scaled @ middle], scaled])
 
 
 class Model:
@@ -131,10 +154,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         .select("label", F.xxhash64("doc_id", "at").alias("order"), F.expr(f"substring(text, at * {PIECE} + 1, {PIECE})").alias("piece"))
         .filter("piece != ''")
     )
-    dictionaries = []
-    for label in (0, 1):
-        rows = pieces.filter(F.col("label") == label).orderBy("order", "piece").limit(SAMPLE_PIECES).collect()
-        dictionaries.append(_dictionary([row["piece"].encode("utf-8") for row in rows]))
+    # At most SAMPLE_PIECES pieces of each label; the dictionaries are built in tasks, not on the driver.
+    picked = [pieces.filter(F.col("label") == label).orderBy("order", "piece").limit(SAMPLE_PIECES) for label in (0, 1)]
+    built = picked[0].unionByName(picked[1]).groupBy("label").applyInArrow(_build, "label int, dictionary binary").collect()
+    found = {row["label"]: bytes(row["dictionary"]) for row in built}
+    dictionaries = [found.get(0, b""), found.get(1, b"")]
     if not all(dictionaries):
         sample.unpersist()
         return Model((b"", b""), np.array([counts[1] / total]))
