@@ -6,10 +6,18 @@ small-star step does so with the smaller neighbours and the node itself. Each
 step is one minimum per node and one join, so no task holds a node's neighbours,
 and Spark splits the rows of a node that has very many. When a round of both
 changes no edge, every edge leads to the smallest node of its component.
+
+Before the first round each task replaces the edges it has, in blocks of bounded
+size, by stars of the components that they make among themselves. That joins the
+same nodes, and the rounds start from fewer and shorter paths.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +26,40 @@ from hackney.llm.common import checkpointed
 
 #: Edges for which there is one task between two shuffles; a small graph is not dealt over all partitions again and again.
 EDGES_PER_TASK = 250_000
+#: Edges that a task makes stars of at a time.
+BLOCK_EDGES = 1 << 20
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from every node but the smallest of each component of the links to that smallest node."""
+    nodes, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = places[: len(a)], places[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        high, low = np.maximum(root[left], root[right]), np.minimum(root[left], root[right])
+        if not (high != low).any():
+            break
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[moved], nodes[root[moved]]
+
+
+def _stars_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> pa.RecordBatch:
+        sides = [np.concatenate([batch.column(side).to_numpy(zero_copy_only=False) for batch in held]) for side in ("u", "v")]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(side, pa.int64()) for side in stars(*sides)], names=["u", "v"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(one.num_rows for one in held) >= BLOCK_EDGES:
+            yield flush()
+    if held:
+        yield flush()
 
 
 def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
@@ -54,7 +96,9 @@ def connected(links: DataFrame) -> DataFrame:
     )
     before = _mark(edges)
     tasks = 1 + 2 * before[0] // EDGES_PER_TASK
-    edges = edges.coalesce(tasks)
+    if before[0]:
+        edges = checkpointed(edges.coalesce(tasks).mapInArrow(_stars_of_task, "u long, v long").coalesce(tasks))
+        before = _mark(edges)
     while before[0]:
         larger = checkpointed(_large_star(edges, tasks).coalesce(tasks))
         edges = checkpointed(_small_star(larger, tasks).coalesce(tasks))

@@ -271,7 +271,9 @@ def components(docs: DataFrame) -> DataFrame:
     links = _confirmed(near, docs, classes)
     parts = connected(links)
 
-    parts = connected(links.unionByName(_rest(docs, classes, connected(to_first), parts)))
+    # Every node with its component joins what the links do, with fewer edges.
+    found = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    parts = connected(found.unionByName(_rest(docs, classes, connected(to_first), parts)))
 
     whole = classes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = whole.groupBy("component").agg(F.min(F.struct("key", "tie")).alias("first"))

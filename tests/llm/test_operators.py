@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hackney.llm import bpe, queries, secret_scan, token_counts
+from hackney.llm import bpe, components, queries, secret_scan, token_counts
 from hackney.llm.suffixes import permuted_common_prefixes, suffix_array
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -101,6 +101,24 @@ def near_components(docs):
     return sets, part
 
 
+@pytest.mark.parametrize("block", [1 << 20, 7])
+def test_components_of_links(spark, monkeypatch, block):
+    monkeypatch.setattr(components, "BLOCK_EDGES", block)
+    rng = random.Random(block)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(220)] + [(i, i + 1) for i in range(500, 560)]
+    part = {node: node for link in links for node in link}
+    for _ in part:
+        for a, b in links:
+            part[a] = part[b] = min(part[a], part[b])
+    frame = spark.createDataFrame(links, "a long, b long").repartition(4)
+    rows = components.connected(frame).collect()
+    alone = {node for node in part if all(a == b for a, b in links if node in (a, b))}
+    assert {row["node"]: row["component"] for row in rows} == {node: own for node, own in part.items() if node not in alone}
+    assert len(rows) == len(part) - len(alone)
+    a, b = components.stars(*np.array(links).T)
+    assert {(int(u), int(v)) for u, v in zip(a, b)} == {(node, own) for node, own in part.items() if node != own}
+
+
 def test_near_copies(spark, given, docs):
     sets, part = near_components(docs)
     wanted = Counter()
