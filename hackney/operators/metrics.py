@@ -104,6 +104,11 @@ def trips_by_borough(fact: DataFrame, dim_location: DataFrame) -> DataFrame:
     return with_share(location_parts(fact, dim_location, []).select("borough", "trips"))
 
 
+def trips_by_own_borough(source: DataFrame) -> DataFrame:
+    """The same from located trips, or cells of them, without a join."""
+    return with_share(parts_by(source, ["borough"], []))
+
+
 def fare_by_borough(source: DataFrame) -> DataFrame:
     return parts_by(source, ["borough"], _PLACE_AMOUNTS).select(
         "borough",
@@ -212,6 +217,13 @@ def trip_efficiency(located: DataFrame) -> DataFrame:
     )
 
 
+def routes_by_own_boroughs(located: DataFrame) -> DataFrame:
+    """Trips from borough to borough by the trips' own coordinates: no join, and a few rows to shuffle."""
+    dropoff = borough_of_trip(F.col("dropoff_latitude"), F.col("dropoff_longitude"))
+    by = [F.col("borough").alias("pickup_borough"), dropoff.alias("dropoff_borough")]
+    return group_parts(located, by, [])
+
+
 def trip_route_boroughs(fact: DataFrame, dim_location: DataFrame) -> DataFrame:
     """Trips from borough to borough: the location dimension joined in both of its roles.
 

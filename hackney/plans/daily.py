@@ -2,6 +2,8 @@
 
 Each stage reads what the one before has written, so a failed stage can be
 repeated alone: `python -m hackney.plans.daily --root DIR --source CSV marts`.
+The raw texts are read once, to write the typed trips; the marts are made of
+these, and name the version they are made of, which the metrics use too.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from hackney.operators import metrics, quality
+from hackney.operators import metrics, quality, staging, trips
 from hackney.plans import control
 from hackney.plans.model import MARTS as MART_TABLES
 from hackney.plans.model import STAGING as STAGED_TABLES
@@ -29,6 +31,8 @@ log = logging.getLogger(__name__)
 SOURCE_NAME = "trips_csv"
 BATCH_ID = "trips_csv_full"
 RAW_TRIPS = "trips_staged"
+STAGED_TRIPS = "stg_trips"
+SOURCE_TRIPS = "source_trips"
 BAD_LINES = "bad_lines"
 QUALITY_REPORT = "quality_report"
 METRICS = "metrics"
@@ -95,10 +99,20 @@ def register_staging(model: Model) -> None:
         getattr(model, name).createOrReplaceTempView(f"{schema_name(STAGING)}_{name}")
 
 
-def build_marts(warehouse: Warehouse, model: Model) -> dict[str, int]:
-    """Writes all mart tables and the quarantine anew. Returns the rows of each."""
-    size_shuffles(warehouse.spark, model.raw)
-    written = warehouse.publish(MARTS, model.marts())
+def stage_trips(warehouse: Warehouse, raw: DataFrame) -> Model:
+    """Writes the typed trips and shows the staged tables. Returns the tables over what is written."""
+    warehouse.publish(STAGING, {STAGED_TRIPS: staging.typed_trips(raw)})
+    model = Model(warehouse.spark, raw, warehouse.read_one(STAGING, STAGED_TRIPS))
+    register_staging(model)
+    return model
+
+
+def build_marts(warehouse: Warehouse) -> dict[str, int]:
+    """Writes all mart tables and the quarantine anew, from the typed trips. Returns the rows of each."""
+    (source,) = warehouse.locations(STAGING, STAGED_TRIPS)
+    model = Model(warehouse.spark, written=warehouse.spark.read.parquet(source))
+    size_shuffles(warehouse.spark, model.typed)
+    written = warehouse.publish(MARTS, model.marts(), also={SOURCE_TRIPS: source})
     return written | warehouse.publish(QUARANTINE, {"trips": model.quarantine_trips})
 
 
@@ -112,13 +126,16 @@ def check_marts(warehouse: Warehouse) -> None:
     quality.require_all_passed(warehouse.read_one(AUDIT, QUALITY_REPORT))
 
 
-def publish_metrics(warehouse: Warehouse, model: Model) -> None:
-    """Publishes all metrics. The trips are read once for each kind of cells; most metrics then read the cells."""
-    size_shuffles(warehouse.spark, model.raw)
-    marts = read_marts(warehouse)
-    fact, places = marts["fact_trip"], marts["dim_location"]
-    located = metrics.located_trips(model.valid_trips)
-    cells = {"hourly_cells": metrics.hourly_cells(fact), "place_cells": metrics.place_cells(located)}
+def publish_metrics(warehouse: Warehouse) -> None:
+    """Publishes all metrics of the published marts and the typed trips that these are made of.
+
+    The trips are read once for each kind of cells; most metrics then read the cells.
+    """
+    *tables, source = warehouse.read(MARTS, *MART_TABLES, SOURCE_TRIPS)
+    marts = dict(zip(MART_TABLES, tables))
+    size_shuffles(warehouse.spark, source)
+    located = metrics.located_trips(trips.valid_trips(source))
+    cells = {"hourly_cells": metrics.hourly_cells(marts["fact_trip"]), "place_cells": metrics.place_cells(located)}
     warehouse.publish(METRICS, cells)
     by_hour, by_place = warehouse.read(METRICS, *cells)
     answers = {
@@ -130,8 +147,8 @@ def publish_metrics(warehouse: Warehouse, model: Model) -> None:
         "demand_by_day_hour": metrics.demand_by_day_hour(by_hour),
         "fare_by_borough": metrics.fare_by_borough(by_place),
         "demand_by_grid": metrics.demand_by_grid(by_place),
-        "trips_by_borough": metrics.trips_by_borough(fact, places),
-        "trip_route_boroughs": metrics.trip_route_boroughs(fact, places),
+        "trips_by_borough": metrics.trips_by_own_borough(by_place),
+        "trip_route_boroughs": metrics.routes_by_own_boroughs(located),
         "trip_efficiency": metrics.trip_efficiency(located),
     }
     warehouse.publish(METRICS, answers)
@@ -144,10 +161,10 @@ def daily_run(warehouse: Warehouse, source: str, new_files_only: bool = False) -
     else:
         load(warehouse, source)
     model = new_files_model(warehouse) if new_files_only else full_model(warehouse)
-    register_staging(model)
-    build_marts(warehouse, model)
+    stage_trips(warehouse, model.raw)
+    build_marts(warehouse)
     check_marts(warehouse)
-    publish_metrics(warehouse, model)
+    publish_metrics(warehouse)
     warehouse.register()
     warehouse.drop_old_versions()
 
@@ -157,7 +174,8 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--root", required=True, help="shared folder of the tables")
     parser.add_argument("--source", help="trip file or folder of trip files, for load and all")
     parser.add_argument("--new-files", action="store_true", help="load only files that no run has loaded yet")
-    parser.add_argument("stage", choices=["load", "marts", "checks", "metrics", "all"], nargs="?", default="all")
+    stages = ["load", "staging", "marts", "checks", "metrics", "register", "all"]
+    parser.add_argument("stage", choices=stages, nargs="?", default="all", help="marts stages the trips as well")
     options = parser.parse_args(arguments)
     if options.stage in ("load", "all") and not options.source:
         parser.error("--source is needed to load")
@@ -166,12 +184,17 @@ def main(arguments: list[str] | None = None) -> None:
     load_from = load_new_files if options.new_files else load
     if options.stage == "load":
         load_from(warehouse, options.source)
+    elif options.stage == "staging":
+        stage_trips(warehouse, model_of(warehouse).raw)
     elif options.stage == "marts":
-        build_marts(warehouse, model_of(warehouse))
+        stage_trips(warehouse, model_of(warehouse).raw)
+        build_marts(warehouse)
     elif options.stage == "checks":
         check_marts(warehouse)
     elif options.stage == "metrics":
-        publish_metrics(warehouse, model_of(warehouse))
+        publish_metrics(warehouse)
+    elif options.stage == "register":
+        warehouse.register()
     else:
         daily_run(warehouse, options.source, options.new_files)
 

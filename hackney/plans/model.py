@@ -1,4 +1,4 @@
-"""The tables of the model as a graph of DataFrames over one raw table."""
+"""The tables of the model as a graph of DataFrames over one raw table, or over its trips as written typed."""
 
 from __future__ import annotations
 
@@ -19,19 +19,24 @@ class Model:
     """Every table as a lazy DataFrame; nothing runs until one is written or read."""
 
     spark: SparkSession
-    raw: DataFrame
+    raw: DataFrame | None = None
+    written: DataFrame | None = None
+
+    @cached_property
+    def typed(self) -> DataFrame:
+        return staging.typed_trips(self.raw) if self.written is None else self.written
 
     @cached_property
     def stg_trips(self) -> DataFrame:
-        return staging.stg_trips(self.raw)
+        return staging.stg_trips(self.typed)
 
     @cached_property
     def stg_datetime(self) -> DataFrame:
-        return staging.stg_datetime(self.raw)
+        return staging.stg_datetime(self.typed)
 
     @cached_property
     def stg_locations(self) -> DataFrame:
-        return staging.stg_locations(self.raw)
+        return staging.stg_locations(self.typed)
 
     @cached_property
     def stg_vendors(self) -> DataFrame:

@@ -160,8 +160,8 @@ def queries() -> dict[str, Query]:
         "stg_trips": _on_model(lambda m: m.stg_trips),
         "stg_datetime": _on_model(lambda m: m.stg_datetime),
         "stg_locations": _on_model(lambda m: m.stg_locations),
-        "op_distinct_pickup_times": _on_model(lambda m: staging.distinct_pickup_times(m.raw)),
-        "op_union_locations": _on_model(lambda m: staging.distinct_locations(m.raw)),
+        "op_distinct_pickup_times": _on_model(lambda m: staging.distinct_pickup_times(m.typed)),
+        "op_union_locations": _on_model(lambda m: staging.distinct_locations(m.typed)),
         # Marts
         "dim_datetime": _on_model(lambda m: m.dim_datetime),
         "dim_location": _on_model(lambda m: m.dim_location),

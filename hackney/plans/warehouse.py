@@ -24,6 +24,8 @@ RAW, STAGING, MARTS, QUARANTINE, CONTROL, AUDIT = "raw", "staging", "marts", "qu
 DEFAULT_LAYER = "public"
 
 _VERSIONS = "table_versions"
+_DROPPED = "dropped_versions"
+_DROPPED_SCHEMA = T.StructType([T.StructField("location", T.StringType())])
 _WRITES_AT_ONCE = 4
 _VERSION_SCHEMA = T.StructType(
     [
@@ -75,12 +77,13 @@ class Warehouse:
         rows.write.parquet(location)
         return location
 
-    def publish(self, layer: str, tables: dict[str, DataFrame]) -> dict[str, int]:
+    def publish(self, layer: str, tables: dict[str, DataFrame], also: dict[str, str] | None = None) -> dict[str, int]:
         """Writes new versions of tables and makes them current together, once all are written.
 
-        The tables are written side by side, so that the last tasks of one do
-        not leave the cluster idle. Returns the rows of each, counted while
-        they are written.
+        `also` names folders that are written already and become current with
+        them. The tables are written side by side, so that the last tasks of
+        one do not leave the cluster idle. Returns the rows of each, counted
+        while they are written.
         """
 
         def write(name: str) -> tuple[str, int]:
@@ -90,7 +93,7 @@ class Warehouse:
 
         with ThreadPoolExecutor(_WRITES_AT_ONCE) as pool:
             written = dict(zip(tables, pool.map(write, tables)))
-        self.point_to(layer, {name: location for name, (location, _) in written.items()})
+        self.point_to(layer, {name: location for name, (location, _) in written.items()} | (also or {}))
         return {name: rows for name, (_, rows) in written.items()}
 
     def point_to(self, layer: str, locations: dict[str, str]) -> None:
@@ -103,14 +106,18 @@ class Warehouse:
         versions = self.read_log(CONTROL, _VERSIONS, _VERSION_SCHEMA)
         return versions.groupBy("schema_name", "table_name").agg(F.max_by("location", "published_at").alias("location"))
 
-    def read(self, layer: str, *tables: str) -> list[DataFrame]:
-        """Current versions of tables of one layer, found with one look at the control layer."""
+    def locations(self, layer: str, *tables: str) -> list[str]:
+        """Folders of the current versions of tables of one layer, found with one look at the control layer."""
         wanted = (F.col("schema_name") == schema_name(layer)) & F.col("table_name").isin(*tables)
         current = {row.table_name: row.location for row in self.current_locations().filter(wanted).collect()}
         missing = [table for table in tables if table not in current]
         if missing:
             raise NotPublished(f"{schema_name(layer)}: {', '.join(missing)}")
-        return [self.spark.read.parquet(current[table]) for table in tables]
+        return [current[table] for table in tables]
+
+    def read(self, layer: str, *tables: str) -> list[DataFrame]:
+        """Current versions of tables of one layer; all are those of one moment."""
+        return [self.spark.read.parquet(location) for location in self.locations(layer, *tables)]
 
     def read_one(self, layer: str, table: str) -> DataFrame:
         return self.read(layer, table)[0]
@@ -130,14 +137,20 @@ class Warehouse:
         """Deletes the folders of all but the newest versions of each table. Returns how many were deleted.
 
         Keep at least two, so that a query which has started on the last
-        version can end.
+        version can end. A folder that two tables share stays while one of them
+        needs it. Deleted folders are logged and not looked at again.
         """
         newest_first = Window.partitionBy("schema_name", "table_name").orderBy(F.col("published_at").desc())
         versions = self.read_log(CONTROL, _VERSIONS, _VERSION_SCHEMA)
-        old = versions.withColumn("age", F.row_number().over(newest_first)).filter(F.col("age") > keep)
+        aged = versions.withColumn("age", F.row_number().over(newest_first))
+        old = aged.groupBy("location").agg(F.min("age").alias("age")).filter(F.col("age") > keep)
+        old = old.join(self.read_log(CONTROL, _DROPPED, _DROPPED_SCHEMA), "location", "left_anti")
         jvm, configuration = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         deleted = 0
-        for row in old.collect():
-            path = jvm.org.apache.hadoop.fs.Path(row.location)
+        dropped = [row.location for row in old.collect()]
+        for location in dropped:
+            path = jvm.org.apache.hadoop.fs.Path(location)
             deleted += path.getFileSystem(configuration).delete(path, True)
+        if dropped:
+            self.append(CONTROL, _DROPPED, [(location,) for location in dropped], _DROPPED_SCHEMA)
         return deleted

@@ -161,6 +161,51 @@ def test_daily_run_on_clean_trips(spark, warehouse, tmp_path):
     assert warehouse.read_one(MARTS, "fact_trip").count() == fact_rows
 
 
+def test_raw_texts_are_read_once(spark, warehouse, tmp_path):
+    as_files(spark, tmp_path / "in", condition=CLEAN)
+    daily.load(warehouse, str(tmp_path / "in"))
+    model = daily.stage_trips(warehouse, daily.full_model(warehouse).raw)
+    lookups = {"dim_vendor", "dim_rate_code", "dim_payment_type"}
+    for name, frame in (model.marts() | {"quarantine": model.quarantine_trips}).items():
+        files = frame.inputFiles()
+        assert all("/STAGING/stg_trips/" in file for file in files) and bool(files) == (name not in lookups), name
+        assert frame._jdf.queryExecution().optimizedPlan().toString().count("] parquet") == (name not in lookups), name
+    daily.build_marts(warehouse)
+    fact, places = warehouse.read(MARTS, "fact_trip", "dim_location")
+    daily.publish_metrics(warehouse)
+    joined = {"trips_by_borough": metrics.trips_by_borough, "trip_route_boroughs": metrics.trip_route_boroughs}
+    for name, form in joined.items():
+        published = warehouse.read_one(daily.METRICS, name)
+        assert sorted(map(repr, published.collect())) == sorted(map(repr, form(fact, places).collect())), name
+
+
+def test_metrics_are_those_of_one_version(spark, warehouse, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write(folder / "a.csv", GOOD, GOOD)
+    load_new_files(warehouse, str(folder))
+    daily.stage_trips(warehouse, read_new_trips(warehouse))
+    daily.build_marts(warehouse)
+    write(folder / "b.csv", GOOD)
+    load_new_files(warehouse, str(folder))
+    daily.stage_trips(warehouse, read_new_trips(warehouse))
+    warehouse.drop_old_versions(keep=1)
+    daily.publish_metrics(warehouse)
+    totals = {
+        name: warehouse.read_one(daily.METRICS, name).agg(F.sum(column)).first()[0]
+        for name, column in {
+            "kpi_summary": "total_trips",
+            "trips_by_borough": "trips",
+            "fare_by_borough": "trips",
+            "trips_by_time_of_day": "trips",
+            "demand_by_grid": "trips",
+            "trip_route_boroughs": "trips",
+        }.items()
+    }
+    assert set(totals.values()) == {2}, totals
+    assert warehouse.drop_old_versions(keep=1) == 0
+
+
 def test_failed_check_stops_the_metrics(spark, warehouse, tmp_path):
     as_files(spark, tmp_path / "in")
     with pytest.raises(quality.QualityCheckFailed, match="not_null_dim_datetime_datetime_key: 1"):
@@ -258,6 +303,10 @@ def test_stages_from_the_command_line(spark, tmp_path):
     for stage in ("load", "marts", "checks", "metrics"):
         daily.main(["--root", root, "--source", str(tmp_path / "in"), stage])
     assert Warehouse(spark, root).read_one(daily.METRICS, "trips_by_borough").count() > 0
+    for stage in ("staging", "register"):
+        daily.main(["--root", root, stage])
+    assert spark.table("MARTS.fact_trip").count() > 0
+    assert spark.table("STAGING.stg_trips").count() >= spark.table("MARTS.fact_trip").count()
 
 
 def test_daily_run_with_new_files_only(spark, warehouse, tmp_path):
