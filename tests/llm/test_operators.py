@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hackney.llm import bpe, components, queries, secret_scan, token_counts
+from hackney.llm import bpe, components, quality, queries, secret_scan, token_counts
 from hackney.llm.suffixes import permuted_common_prefixes, suffix_array
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -154,24 +154,37 @@ def test_trees_agree_with_the_library():
     assert [vocabulary.encode_word(word.encode()) for word in words] == expected
 
 
-def test_benchmark_passages(spark, given, docs):
-    def words_of(text):
-        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+def benchmark_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+
 
+def benchmark_windows(spark, folder):
+    """The items of every window of the benchmark."""
     windows = {}
-    for row in spark.read.parquet(f"{given}/benchmark.parquet").collect():
-        words = words_of(row.text)
+    for row in spark.read.parquet(f"{folder}/benchmark.parquet").collect():
+        words = benchmark_words(row.text)
         width = min(len(words), 10)
         for i in range(len(words) - width + 1 if words else 0):
             windows.setdefault(tuple(words[i : i + width]), set()).add(row.item_id)
+    return windows
+
+
+def benchmark_hits(text, windows):
+    """Words of the text, which of them are hit, and the items that hit."""
+    words, hit, items = benchmark_words(text), set(), set()
+    for window, owners in windows.items():
+        for i in range(len(words) - len(window) + 1):
+            if tuple(words[i : i + len(window)]) == window:
+                hit |= set(range(i, i + len(window)))
+                items |= {str(owner) for owner in owners if owner is not None}
+    return words, hit, items
+
+
+def test_benchmark_passages(spark, given, docs):
+    windows = benchmark_windows(spark, given)
     wanted = Counter()
     for doc_id, text, _ in docs:
-        words, hit, items = words_of(text), set(), set()
-        for window, owners in windows.items():
-            for i in range(len(words) - len(window) + 1):
-                if tuple(words[i : i + len(window)]) == window:
-                    hit |= set(range(i, i + len(window)))
-                    items |= {str(owner) for owner in owners if owner is not None}
+        words, hit, items = benchmark_hits(text, windows)
         wanted[(doc_id, len(words), len(hit), len(items), sha(",".join(sorted(items))), bool(hit))] += 1
     columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     assert sum(n for row, n in wanted.items() if row[-1]) >= 10
@@ -227,3 +240,26 @@ def test_pipeline_stages(spark, given, docs):
     sets, part = near_components(docs)
     assert got["near_dedup"] == Counter(d[:2] for i, d in enumerate(docs) if docs[part[i]][:2] == d[:2] or not sets[i])
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "decontaminate", "encode"]
+
+
+def test_pipeline_run(spark, given, docs):
+    """The rows of the whole pipeline against its stages by brute force; texts are judged one at a time."""
+    model = quality.train(spark.read.parquet(f"{given}/documents.parquet"), spark.read.parquet(f"{given}/labels.parquet"))
+    good = [doc for doc in docs if model.score([memoryview(doc[1].encode())])[0] >= quality.KEEP_FROM]
+    texts = [re.sub(r"[\x20\x09-\x0D]+", " ", text) for _, text, _ in good]
+    single = [doc for i, doc in enumerate(good) if texts[i] not in texts[:i]]
+    sets, part = near_components(single)
+    apart = [doc for i, doc in enumerate(single) if part[i] == i]
+    windows = benchmark_windows(spark, given)
+    clean = [doc for doc in apart if not benchmark_hits(doc[1], windows)[1]]
+    assert 0 < len(clean) < len(apart) < len(single) < len(good) < len(docs)
+    library = token_counts.load(queries.vocabulary(queries.CODE_VOCABULARY))
+    wanted = Counter()
+    for doc_id, text, _ in clean:
+        ids = library.encode(text, add_special_tokens=False).ids
+        wanted[(doc_id, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(library.decode(ids, skip_special_tokens=False)))] += 1
+    assert result(spark, "pipeline", given, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == wanted
+
+
+def test_pipeline_on_empty_tables(spark, empty):
+    assert queries.queries()["pipeline"](spark, empty).count() == 0
