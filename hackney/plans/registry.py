@@ -19,7 +19,7 @@ from hackney.operators import metrics, quality, staging, trips
 from hackney.plans.model import Model
 from hackney.plans.warehouse import Warehouse
 from hackney.schemas import RAW_COLUMNS, SOURCE_COLUMNS
-from hackney.session import prepare, shared_folder, size_shuffles
+from hackney.session import shared_folder
 from hackney.sources.event_trips import trips_from_events
 from hackney.sources.trip_files import good_lines, read_trip_files
 from hackney.streaming.new_files import load_new_files, read_new_trips
@@ -28,9 +28,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def model(spark: SparkSession, folder: str) -> Model:
-    raw = trips_from_events(prepare(spark), folder)
-    size_shuffles(spark, raw)
-    return Model(spark, raw)
+    return Model(spark, trips_from_events(spark, folder))
 
 
 def _on_model(build: Callable[[Model], DataFrame]) -> Query:
@@ -99,13 +97,13 @@ def _as_trip_files(spark: SparkSession, folder: str) -> str:
 
 def csv_trips(spark: SparkSession, folder: str) -> DataFrame:
     """The trips after a way through CSV files and the file reader."""
-    lines = read_trip_files(prepare(spark), _as_trip_files(spark, folder), "run-0", "b-0")
+    lines = read_trip_files(spark, _as_trip_files(spark, folder), "run-0", "b-0")
     return good_lines(lines).select("batch_id", "pipeline_run_id", *SOURCE_COLUMNS)
 
 
 def new_file_trips(spark: SparkSession, folder: str) -> DataFrame:
     """The trips after a way through CSV files and the file stream."""
-    warehouse = Warehouse(prepare(spark), shared_folder(spark))
+    warehouse = Warehouse(spark, shared_folder(spark))
     load_new_files(warehouse, _as_trip_files(spark, folder))
     return read_new_trips(warehouse).select(*SOURCE_COLUMNS)
 

@@ -18,8 +18,6 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hackney.session import prepare
-
 RAW, STAGING, MARTS, QUARANTINE, CONTROL, AUDIT = "raw", "staging", "marts", "quarantine", "control", "audit_logs"
 DEFAULT_LAYER = "public"
 
@@ -48,7 +46,7 @@ class NotPublished(LookupError):
 
 class Warehouse:
     def __init__(self, spark: SparkSession, root: str):
-        self.spark = prepare(spark)
+        self.spark = spark
         self.root = root.rstrip("/")
 
     def folder(self, layer: str | None, table: str) -> str:

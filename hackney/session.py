@@ -6,9 +6,9 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-# Settings that may be set on a running session.
+# Settings of a session that is built here. The results are the same without them.
 SETTINGS = {
     # Partitions follow the data at run time: small ones are merged, heavy ones split.
     "spark.sql.adaptive.enabled": "true",
@@ -21,18 +21,14 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
-_BYTES_PER_PARTITION = 128 * 1024 * 1024
-
-
-def prepare(spark: SparkSession) -> SparkSession:
-    """Applies the engine's settings to a session."""
-    for name, value in SETTINGS.items():
-        spark.conf.set(name, value)
-    return spark
-
 
 def build_session(master: str | None = None, name: str = "hackney", **settings: str) -> SparkSession:
-    """A session with the engine's settings. On a cluster the launcher gives master, memory and partitions."""
+    """A session with the engine's settings. On a cluster the launcher gives master, memory and partitions.
+
+    Shuffles start with `spark.sql.adaptive.coalescePartitions.initialPartitionNum`
+    partitions, which should be the raw table's size by 128 MB; Spark merges those
+    that turn out small and splits heavy ones of a join.
+    """
     # Recording the place in the program of every column operation takes longer
     # than building the plan; switch it on to search for the source of an error.
     builder = SparkSession.builder.appName(name).config("spark.python.sql.dataFrameDebugging.enabled", "false")
@@ -43,19 +39,6 @@ def build_session(master: str | None = None, name: str = "hackney", **settings:
     return builder.getOrCreate()
 
 
-def size_shuffles(spark: SparkSession, table: DataFrame) -> int:
-    """Starts shuffles with one partition per 128 MB of the table that feeds them, as the files' sizes tell.
-
-    Never fewer than the session's own number. Partitions that turn out small
-    are merged at run time, while too few large ones would spill.
-    """
-    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    partitions = max(least, size // _BYTES_PER_PARTITION)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", partitions)
-    return partitions
-
-
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that every executor can reach, under `spark.checkpoint.dir`.
 

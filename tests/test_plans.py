@@ -1,4 +1,5 @@
 import shutil
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -321,11 +322,15 @@ def test_daily_run_with_new_files_only(spark, warehouse, tmp_path):
     assert warehouse.read_one(MARTS, "fact_trip").count() == 3
 
 
-def test_shuffles_grow_with_the_table(spark):
-    from hackney.session import size_shuffles
+def test_given_session_is_left_alone_and_its_zone_does_not_matter(spark, tmp_path):
+    from hackney.plans.registry import queries
 
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    assert size_shuffles(spark, spark.range(10)) == least
-    assert size_shuffles(spark, spark.range(10**10)) == 8 * 10**10 // (128 * 1024 * 1024)
-    assert size_shuffles(spark, spark.range(10**14)) == 8 * 10**14 // (128 * 1024 * 1024)
-    assert size_shuffles(spark, spark.range(10)) == least
+    folder = f"{DATA}/sf0.001"
+    names = ["stg_trips", "dim_datetime", "new_file_trips"]
+    expected = {name: Counter(queries()[name](spark, folder).collect()) for name in names}
+    other = spark.newSession()
+    other.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    settings = {name: other.conf.get(name) for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions")}
+    assert {name: Counter(queries()[name](other, folder).collect()) for name in names} == expected
+    assert {name: other.conf.get(name) for name in settings} == settings
+    assert other.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) is None

@@ -430,12 +430,3 @@ def test_random_durations(spark):
         return (time - start) // timedelta(minutes=1)
 
     assert found == [whole_minutes(b) - whole_minutes(a) for a, b in pairs]
-
-
-def test_small_event_files_are_spread(spark):
-    from conftest import DATA
-    from hackney.sources.event_trips import trips_from_events
-
-    trips_of_file = trips_from_events(spark, f"{DATA}/sf0.001")
-    assert trips_of_file.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert trips_of_file.count() == 1000
