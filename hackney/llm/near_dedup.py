@@ -3,9 +3,10 @@
 A document's set holds its runs of `SHINGLE` words, A to Z in lower case; a
 shorter one has one run of all its words, one without words has none and links
 to nothing. Documents with equal sets are one class, and one of them stands for
-all. Two classes are linked when the sets share `PERCENT` of their union or more.
+all. Two classes are linked when the sets share `percent` of their union or more;
+`PERCENT` unless told otherwise, and one of `LIMITS`.
 
-1. Each set gets `BANDS * ROWS` minima under universal hashes. Those of a band,
+1. Each set gets `HASHES` minima under universal hashes. Those of a band,
    hashed together, are the band's bucket.
 2. In every bucket all members are paired with the first one.
 3. Pairs whose minima agree too seldom for a link are dropped, the others are
@@ -30,7 +31,9 @@ Null and empty texts have no words. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,19 +46,29 @@ from hackney.llm.words import Words, lowered, run_hashes, window_starts
 
 SHINGLE = 5
 PERCENT = 85
-#: A pair with a similarity of 0.85 misses all 32 bands of 6 once in four million times.
-BANDS, ROWS = 32, 6
-#: Pairs agree in fewer of the 192 minima once in thirty thousand times if their similarity is 0.85.
-LEAST_AGREEING = 143
+HASHES = 192
+
+
+class Limits(NamedTuple):
+    """What the minima of a set are used for; follows from the least similarity of a link."""
+
+    percent: int
+    bands: int
+    rows: int
+    least_agreeing: int
+
+
+#: By percent. A pair just at the limit misses all bands of 0.85 once in 3.8 million times, and those of 0.8 once in 3.6 million.
+#: It agrees in fewer minima once in thirty thousand times at 0.85, and once in a thousand million at 0.8.
+LIMITS = {limits.percent: limits for limits in (Limits(85, 32, 6, 143), Limits(80, 38, 5, 118))}
 #: Rows that a task compares the members of a bucket with at a time.
 BLOCK = 1024
 #: Ids that are broadcast at most; 16 bytes each.
 BROADCAST_ROWS = 2_000_000
 
-_HASHES = BANDS * ROWS
 _random = np.random.default_rng(20240229)
-_FACTORS = _random.integers(0, 1 << 63, _HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
-_TERMS = _random.integers(0, 1 << 63, _HASHES, np.uint64)
+_FACTORS = _random.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
+_TERMS = _random.integers(0, 1 << 63, HASHES, np.uint64)
 _PART = 1 << 15  # shingles whose minima are taken at a time, to stay in a core's cache
 
 
@@ -77,7 +90,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 def minima(sets: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Least value of each universal hash over each set; sets must not be empty."""
-    out = np.empty((len(counts), _HASHES), np.uint64)
+    out = np.empty((len(counts), HASHES), np.uint64)
     ends = np.cumsum(counts)
     low = 0
     while low < len(counts):
@@ -85,7 +98,7 @@ def minima(sets: np.ndarray, counts: np.ndarray) -> np.ndarray:
         high = max(low + 1, int(np.searchsorted(ends, base + _PART, "right")))
         values, starts = sets[base : ends[high - 1]], (ends - counts)[low:high] - base
         hashed = np.empty_like(values)
-        for i in range(_HASHES):
+        for i in range(HASHES):
             np.multiply(values, _FACTORS[i], out=hashed)
             hashed += _TERMS[i]
             out[low:high, i] = np.minimum.reduceat(hashed, starts)
@@ -93,16 +106,16 @@ def minima(sets: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_hashes(least: np.ndarray) -> np.ndarray:
+def band_hashes(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One number for the minima of each band."""
-    grouped = least.reshape(len(least), BANDS, ROWS)
-    out = np.zeros((len(least), BANDS), np.uint64)
-    for row in range(ROWS):
+    grouped = least[:, : bands * rows].reshape(len(least), bands, rows)
+    out = np.zeros((len(least), bands), np.uint64)
+    for row in range(rows):
         out = mix(out ^ grouped[:, :, row], row)
     return out
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(limits: Limits, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """n_shingles, a digest of the set, band hashes and 16 bits of each minimum, of every row."""
     for batch, data, offsets in slices(batches):
         sets, counts = shingle_sets(data, offsets)
@@ -112,7 +125,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(some):
             sums = [np.add.reduceat(mix(sets, seed), starts) for seed in (11, 12)]
             least = minima(sets, counts[some])
-            hashed, short = band_hashes(least), mix(least, 13).astype(np.uint16)
+            hashed, short = band_hashes(least, limits.bands, limits.rows), mix(least, 13).astype(np.uint16)
             for place, row in enumerate(some.tolist()):
                 digests[row] = sums[0][place].tobytes() + sums[1][place].tobytes() + int(counts[row]).to_bytes(4, "little")
                 bands[row] = hashed[place].astype(np.int64)
@@ -138,58 +151,63 @@ def _packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _agreeing(limits: Limits, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose signatures agree often enough for a link."""
     for batch in batches:
         if batch.num_rows:
             a, b = (
-                np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint16).reshape(-1, _HASHES)
+                np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint16).reshape(-1, HASHES)
                 for name in ("a_signature", "b_signature")
             )
-            fits = (a == b).sum(1) >= LEAST_AGREEING
+            fits = (a == b).sum(1) >= limits.least_agreeing
             yield batch.select(["a", "b"]).filter(pa.array(fits))
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked(limits: Limits, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose whole sets are similar enough."""
     for batch in batches:
         keep = []
         for left, right in zip(batch.column("a_shingles"), batch.column("b_shingles"), strict=True):
-            keep.append(_similar(np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)))
+            a, b = (np.frombuffer(side.as_buffer(), np.uint64) for side in (left, right))
+            keep.append(_similar(a, b, limits.percent))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     small, large = (a, b) if len(a) <= len(b) else (b, a)
     at = np.minimum(np.searchsorted(large, small), len(large) - 1)
     both = int((large[at] == small).sum())
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _compare_block(table: pa.Table) -> pa.Table:
+def _compare_block(limits: Limits) -> Callable[[pa.Table], pa.Table]:
     """Links that join components, between the block's guests and its own rows."""
-    node, part = table.column("node").to_numpy(), table.column("component").to_numpy()
-    guest = table.column("guest").to_numpy(zero_copy_only=False).astype(bool)
-    signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, _HASHES)
-    sets = [np.frombuffer(value.as_buffer(), np.uint64) for value in table.column("shingles")]
-    sizes = np.array([len(one) for one in sets])
-    own = np.flatnonzero(~guest)
-    name = {component: i for i, component in enumerate(np.unique(part).tolist())}
-    group = np.array([name[component] for component in part.tolist()])  # components that links found here have joined
-    links = []
-    for row in np.flatnonzero(guest):
-        others = own[group[own] != group[row]]
-        least, most = np.minimum(sizes[others], sizes[row]), np.maximum(sizes[others], sizes[row])
-        others = others[100 * least >= PERCENT * most]
-        agreeing = (signatures[others] == signatures[row]).sum(1)
-        likely = agreeing >= LEAST_AGREEING
-        for other in others[likely][np.argsort(-agreeing[likely], kind="stable")]:
-            if group[other] != group[row] and _similar(sets[row], sets[other]):
-                links.append((int(node[row]), int(node[other])))
-                group[group == group[other]] = group[row]
-    return pa.table(
-        [pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"]
-    )
+
+    def run(table: pa.Table) -> pa.Table:
+        node, part = table.column("node").to_numpy(), table.column("component").to_numpy()
+        guest = table.column("guest").to_numpy(zero_copy_only=False).astype(bool)
+        signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, HASHES)
+        sets = [np.frombuffer(value.as_buffer(), np.uint64) for value in table.column("shingles")]
+        sizes = np.array([len(one) for one in sets])
+        own = np.flatnonzero(~guest)
+        name = {component: i for i, component in enumerate(np.unique(part).tolist())}
+        group = np.array([name[component] for component in part.tolist()])  # components that links found here have joined
+        links = []
+        for row in np.flatnonzero(guest):
+            others = own[group[own] != group[row]]
+            least, most = np.minimum(sizes[others], sizes[row]), np.maximum(sizes[others], sizes[row])
+            others = others[100 * least >= limits.percent * most]
+            agreeing = (signatures[others] == signatures[row]).sum(1)
+            likely = agreeing >= limits.least_agreeing
+            for other in others[likely][np.argsort(-agreeing[likely], kind="stable")]:
+                if group[other] != group[row] and _similar(sets[row], sets[other], limits.percent):
+                    links.append((int(node[row]), int(node[other])))
+                    group[group == group[other]] = group[row]
+        return pa.table(
+            [pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"]
+        )
+
+    return run
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -201,7 +219,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return checkpointed(rows.select("node", "text").mapInArrow(_packed_sets, "node long, shingles binary"))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, limits: Limits) -> DataFrame:
     """The pairs that are links."""
     pairs = checkpointed(pairs)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -209,10 +227,10 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame
     # Both sides of each join are read from files, so that Spark can split the rows of a node with many pairs.
     of = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_shingles"))
     both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "a_shingles", "b_shingles")
-    return checkpointed(both.mapInArrow(_linked, "a long, b long"))
+    return checkpointed(both.mapInArrow(partial(_linked, limits), "a long, b long"))
 
 
-def _rest(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, parts: DataFrame) -> DataFrame:
+def _rest(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, parts: DataFrame, limits: Limits) -> DataFrame:
     """Links between components of a cluster, from its members outside the largest component."""
     named = (
         clusters.withColumnRenamed("component", "cluster")
@@ -242,13 +260,14 @@ def _rest(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, parts: DataFra
         "cluster", each("blocks").alias("block"), place("guest_blocks").alias("guests"), F.lit(True).alias("guest"), *columns
     )
     rows = own.unionByName(guests)
-    return checkpointed(rows.groupBy("cluster", "block", "guests").applyInArrow(_compare_block, "a long, b long"))
+    return checkpointed(rows.groupBy("cluster", "block", "guests").applyInArrow(_compare_block(limits), "a long, b long"))
 
 
-def components(docs: DataFrame) -> DataFrame:
+def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per row of `docs`: doc_id, key, tie, n_shingles, and the key and tie of the first document of its component."""
+    limits = LIMITS[percent]
     signed = keyed_texts(docs).mapInArrow(
-        _signed,
+        partial(_signed, limits),
         f"doc_id {dict(keyed_texts(docs).dtypes)['doc_id']}, key long, tie long, n_shingles long, digest binary, "
         "bands array<long>, signature binary",
     )
@@ -267,13 +286,13 @@ def components(docs: DataFrame) -> DataFrame:
     signatures = classes.select("node", "signature")
     of = lambda side: signatures.select(F.col("node").alias(side), F.col("signature").alias(f"{side}_signature"))
     to_first = checkpointed(members.filter("node != a").select("a", F.col("node").alias("b")).distinct())
-    near = to_first.join(of("b"), "b").join(of("a"), "a").mapInArrow(_agreeing, "a long, b long")
-    links = _confirmed(near, docs, classes)
+    near = to_first.join(of("b"), "b").join(of("a"), "a").mapInArrow(partial(_agreeing, limits), "a long, b long")
+    links = _confirmed(near, docs, classes, limits)
     parts = connected(links)
 
     # Every node with its component joins what the links do, with fewer edges.
     found = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    parts = connected(found.unionByName(_rest(docs, classes, connected(to_first), parts)))
+    parts = connected(found.unionByName(_rest(docs, classes, connected(to_first), parts, limits)))
 
     whole = classes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = whole.groupBy("component").agg(F.min(F.struct("key", "tie")).alias("first"))
@@ -297,7 +316,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def without_near_copies(docs: DataFrame) -> DataFrame:
+def without_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of the first document of each component, with all their columns."""
     same = (F.col("key") == F.col("first_key")) & (F.col("tie") == F.col("first_tie"))
-    return without_rows(docs, checkpointed(components(docs).filter(~same).select("key", "tie").distinct()))
+    return without_rows(docs, checkpointed(components(docs, percent).filter(~same).select("key", "tie").distinct()))
