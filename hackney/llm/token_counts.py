@@ -3,7 +3,9 @@
 A text's count is the sum of the counts of its pre-tokens. Two tiers answer for
 a pre-token: a table of the most frequent ones of the whole corpus with their
 counts, broadcast to all workers, and behind it a cache in each worker, filled
-from the vocabulary as pre-tokens are missed. Neither changes a result.
+from the vocabulary as pre-tokens are missed. Neither changes a result. What has
+characters on which a rule for pre-tokens may differ from the library's is split by
+the library's own, piece by piece, and looked up all the same.
 
 The frequent ones are found in one pass: every task keeps a bounded table of
 word counts (all lowered when it is full, so that a word that makes up more
@@ -31,12 +33,13 @@ from hackney.llm.common import texts
 FREQUENT = 1 << 15
 TASK_WORDS = 1 << 18
 TASK_SENDS = 1 << 13
-#: Entries in a worker's cache before it is emptied.
+#: Entries in a worker's cache before it is emptied, and characters of the longest entry.
 CACHE = 1 << 18
+LONGEST = 64
 
 # The split of this kind of vocabulary into pre-tokens.
 _PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-# A split before a single space and a character that is no white space never cuts a pre-token.
+# A split before a single space and a character that is no white space never cuts a pre-token, whatever stands before.
 _PIECE = re.compile(r" (?=[!-~¡-ɏ])")
 #: Where the split above and the library's own surely agree.
 _KNOWN = re.compile(r"[\t\n\r -~¡-ɏ]*")
@@ -59,8 +62,17 @@ def _token_count(tokenizer, text: str) -> int:
     return len(tokenizer.encode(text, add_special_tokens=False).ids)
 
 
+def pre_tokens(tokenizer, text: str) -> list[str]:
+    """The pre-tokens of a text; a text of other scripts or signs is split by the library."""
+    if _KNOWN.fullmatch(text):
+        return _PRE_TOKEN.findall(text)
+    return [text[start:end] for _, (start, end) in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+
 class _Bounded(dict):
     def put(self, key, value):
+        if len(key) > LONGEST:
+            return value
         if len(self) >= CACHE:
             self.clear()
         self[key] = value
@@ -88,7 +100,7 @@ class _Pieces(_Bounded):
 
     def __missing__(self, piece: str) -> int:
         lengths = self.lengths
-        return self.put(piece, sum(lengths[token] for token in _PRE_TOKEN.findall(" " + piece)))
+        return self.put(piece, sum(lengths[token] for token in pre_tokens(lengths.tokenizer, " " + piece)))
 
 
 class Counts:
@@ -104,11 +116,9 @@ class Counts:
     def _plain(self, text: str) -> int:
         first, *rest = _PIECE.split(text)
         lengths = self.lengths
-        return sum(lengths[token] for token in _PRE_TOKEN.findall(first)) + sum(map(self.pieces.__getitem__, rest))
+        return sum(lengths[token] for token in pre_tokens(self.tokenizer, first)) + sum(map(self.pieces.__getitem__, rest))
 
     def count(self, text: str) -> int:
-        if not _KNOWN.fullmatch(text):
-            return _token_count(self.tokenizer, text)
         if self.special is None or not self.special.search(text):
             return self._plain(text)
         parts = self.special.split(text)
@@ -134,9 +144,9 @@ def frequent_lengths(docs: DataFrame, path: str) -> dict[str, int]:
     """The most frequent pre-tokens of the corpus with their token counts; `FREQUENT` at most."""
     words = texts(docs).select("text").mapInArrow(_frequent_words, "word string, n long")
     top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    tokens = dict.fromkeys(token for row in top for token in _PRE_TOKEN.findall(" " + row["word"]))
-    tokens = [token for token in list(tokens)[:FREQUENT] if _KNOWN.fullmatch(token)]
-    encoded = load(path).encode_batch(tokens, add_special_tokens=False) if tokens else []
+    tokenizer = load(path)
+    tokens = list(dict.fromkeys(token for row in top for token in pre_tokens(tokenizer, " " + row["word"])))[:FREQUENT]
+    encoded = tokenizer.encode_batch(tokens, add_special_tokens=False) if tokens else []
     return {token: len(encoding.ids) for token, encoding in zip(tokens, encoded, strict=True)}
 
 
