@@ -28,9 +28,12 @@ _KINDS = [pa.int32(), *[pa.binary()] * 4]
 
 
 def packed(keys: np.ndarray, ties: np.ndarray, marks: np.ndarray, groups: int) -> pa.RecordBatch:
-    """Rows of marks, a row per group of documents. Marks of a document must be neighbours; each is one or more numbers."""
+    """Rows of marks, a row per group of documents. Marks of a document must be neighbours; each is one or more numbers.
+
+    The group follows from key and tie, so documents of one id are in all groups.
+    """
     rows: list[list] = [[] for _ in _KINDS]
-    group = keys % groups
+    group = (_hashed(keys, ties) % np.uint64(groups)).astype(np.int64)
     order = np.argsort(group, kind="stable")
     keys, ties, marks, group = keys[order], ties[order], marks[order], group[order]
     edges = np.flatnonzero(np.diff(group)) + 1
@@ -64,9 +67,13 @@ def _unpacked(table: pa.Table) -> pa.Table:
     )
 
 
+def _hashed(keys: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """One number for key and tie."""
+    return mix(keys.view(np.uint64) ^ mix(ties.view(np.uint64), 3), 4)
+
+
 def _names(batch: pa.RecordBatch) -> np.ndarray:
-    key, tie = (batch.column(name).to_numpy(zero_copy_only=False).view(np.uint64) for name in ("key", "tie"))
-    return mix(key ^ mix(tie, 3), 4)
+    return _hashed(*(batch.column(name).to_numpy(zero_copy_only=False) for name in ("key", "tie")))
 
 
 def with_marks(docs: DataFrame, marked: DataFrame, work: Callable[[Batches], Batches], columns: str) -> DataFrame:
