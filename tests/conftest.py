@@ -7,8 +7,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from hackney.session import build_session  # noqa: E402
 
-DATA = "/root/testdata"
-
 
 @pytest.fixture(scope="session")
 def spark():

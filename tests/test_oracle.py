@@ -7,11 +7,11 @@ from datetime import date, datetime
 import duckdb
 import pytest
 
-from conftest import DATA
+from tables import DATA
 from hackney.plans.oracle import oracle_sql
 from hackney.plans.registry import queries
 
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
 
 @pytest.fixture(scope="module")

@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import DATA
+from tables import DATA
 from hackney.operators import metrics, quality
 from hackney.plans import control, daily
 from hackney.plans.warehouse import AUDIT, CONTROL, MARTS, QUARANTINE, RAW, NotPublished, Warehouse, schema_name

@@ -343,7 +343,7 @@ def test_hot_place_keeps_all_trips(spark):
 
 
 def test_all_trips_are_in_fact_or_quarantine(spark):
-    from conftest import DATA
+    from tables import DATA
     from hackney.sources.event_trips import trips_from_events
 
     m = Model(spark, trips_from_events(spark, f"{DATA}/sf0.01"))
