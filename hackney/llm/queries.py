@@ -13,6 +13,7 @@ from hackney.llm import (
     exact_dedup,
     language,
     near_dedup,
+    prefix_trie,
     quality,
     secret_scan,
     substring_dedup,
@@ -81,6 +82,10 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, folder), table(spark, folder, "benchmark"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_suffix_dedup,
         op9_bpe,
         op10_decontaminate,
+        op11_prefix_trie,
         pipeline,
     ]
     return {operator.__name__: operator for operator in operators}
@@ -174,6 +180,66 @@ select t.doc_id, cast(len(t.words) as bigint) as n_words, coalesce(c.n, 0) as n_
 from texts t left join covered c on t.doc_id = c.doc_id left join found f on t.doc_id = f.doc_id
 """
 
+_TRIE_SQL = r"""
+with recursive bits(i, crc) as (
+  select i, cast(i as bigint) as crc from range(256) as r(i)
+),
+crc_table as (
+  select i, list_reduce(list_prepend(i, [1, 2, 3, 4, 5, 6, 7, 8]),
+    lambda x, y: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end) as step from bits
+),
+crcs as (
+  select list(step order by i) as steps from crc_table
+),
+turns as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first,
+      sha256(concat(cast(octet_length(encode(coalesce(role, ''))) as varchar), ':', coalesce(role, ''), coalesce(text, '')))) as n,
+    coalesce(role, '') as role, coalesce(text, '') as text
+  from conversations where conv_id is not null
+),
+own as (
+  select conv_id, list({'role': role, 'text': text} order by n) as turns from turns group by conv_id
+),
+openings as (
+  select conv_id, turns, xor(list_reduce(list_prepend(4294967295, list_transform(
+      string_split(cast(conv_id as varchar), ''), lambda c: cast(ascii(c) as bigint))),
+    lambda x, y: xor(x // 256, steps[(xor(x, y) % 256) + 1])), 4294967295) % 6 as h
+  from own, crcs
+),
+rebuilt as (
+  select c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) as turns
+  from openings c left join own b on b.conv_id = c.conv_id - c.conv_id % 100
+),
+paths as (
+  select conv_id, turns, unnest(range(0, len(turns) + 1)) as depth from rebuilt
+),
+nodes as (
+  select turns[1:depth] as prefix, depth, min(conv_id) as conv_id, count(*) as n_convs,
+    coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (len(turns) = depth), '') as ends
+  from paths group by prefix, depth
+),
+children as (
+  select prefix[1:depth - 1] as above, depth - 1 as depth, count(*) as n_children from nodes where depth > 0 group by 1, 2
+),
+named as (
+  select n.*, coalesce(c.n_children, 0) as n_children, p.conv_id as parent_conv_id,
+    case when n.depth > 0 then (n.n_convs - 1) * length(n.prefix[-1].text) else 0 end as saved
+  from nodes n left join children c on c.above = n.prefix and c.depth = n.depth
+  left join nodes p on p.depth = n.depth - 1 and p.prefix = n.prefix[1:n.depth - 1]
+),
+lines as (
+  select unnest(range(0, depth + 1)) as depth, prefix, n_children, saved from named
+),
+totals as (
+  select prefix[1:depth] as prefix, depth, sum(case when n_children = 0 then 1 else 0 end) as n_leaves, sum(saved) as saved
+  from lines group by 1, 2
+)
+select n.conv_id, cast(n.depth as bigint) as depth, n.parent_conv_id, cast(n.n_convs as bigint) as n_convs,
+  cast(n.n_children as bigint) as n_children, cast(t.n_leaves as bigint) as n_leaves,
+  cast(t.saved as bigint) as saved_tokens, sha256(n.ends) as ends_sha256
+from named n join totals t on t.prefix = n.prefix and t.depth = n.depth
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": _SUBSTRING_SQL, "op5_exact_dedup": _EXACT_SQL, "op10_decontaminate": _BENCHMARK_SQL}
+    return {"op3_substring_dedup": _SUBSTRING_SQL, "op5_exact_dedup": _EXACT_SQL, "op10_decontaminate": _BENCHMARK_SQL, "op11_prefix_trie": _TRIE_SQL}
