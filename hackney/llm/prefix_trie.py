@@ -240,6 +240,9 @@ def _solve(table: pa.Table) -> pa.RecordBatch:
     order = np.argsort(key)
     found = np.minimum(np.searchsorted(key[order], wanted), len(key) - 1)
     parent = np.where(key[order][found] == wanted, order[found], -1)
+    for name in _KEYS:  # the node above may be of another part
+        part = table.column(name).to_numpy()
+        parent[part[parent] != part] = -1
     values = np.stack([table.column(name).to_numpy() for name in ("leaves", "saved")])
     totals = centroid_totals(parent, values)
     top = np.arange(len(conv))
