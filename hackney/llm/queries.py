@@ -15,15 +15,18 @@ from hackney.llm import (
     near_dedup,
     prefix_trie,
     quality,
+    quality_rules,
     secret_scan,
     substring_dedup,
     suffix_dedup,
+    token_alignment,
     token_counts,
 )
 from hackney.llm.common import documents
 
 COUNT_VOCABULARY = "byte_bpe_50k.json"
 CODE_VOCABULARY = "word_bpe_49k.json"
+PIECE_VOCABULARY = "piece_bpe_32k.model"
 
 
 def vocabulary(name: str) -> str:
@@ -86,6 +89,15 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
 
 
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return token_alignment.alignment(docs, vocabulary(COUNT_VOCABULARY), vocabulary(PIECE_VOCABULARY))
+
+
+def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.quality_rules(documents(spark, folder))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -105,6 +117,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_bpe,
         op10_decontaminate,
         op11_prefix_trie,
+        op12_token_alignment,
+        op13_quality_rules,
         pipeline,
     ]
     return {operator.__name__: operator for operator in operators}
