@@ -13,7 +13,7 @@ Occurrences are ordered by doc_id (null first), then a hash of the text, then
 start; rows that share doc_id and text are one place and do not repeat each
 other. Null and empty texts have no words. An empty table gives an empty result.
 
-Windows are told apart by 96 bits of two hashes.
+Windows are told apart by 96 bits of two hashes, made of two hashes of each word.
 """
 
 from __future__ import annotations
@@ -117,7 +117,7 @@ def _send(repeats: sketch.Repeats, width: int, buckets: int) -> Callable[[Iterat
             place = starts - words.first[owner]
             at = np.lexsort((place, rank[owner]))
             starts, owner, hash_, place = starts[at], owner[at], hash_[at], place[at]
-            more = run_hashes(hashes, starts, starts + width, 1).astype(np.uint32)
+            more = run_hashes(words.hashes(1), starts, starts + width, 1).astype(np.uint32)
             order, first = first_of_equal([hash_, more])
             # A row that is there twice is one place.
             leader = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]

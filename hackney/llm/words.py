@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
-from hackney.llm.common import Ranges
+from hackney.llm.common import Ranges, mix
 
 # The bytes between words; space, and tab to carriage return.
 _SPACE = np.zeros(256, bool)
@@ -13,9 +15,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 # Odd numbers, any would do.
-_LETTER_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = (0xD1342543DE82EF95, 0xC2B2AE3D27D4EB4F)
-_BLOCK = 1 << 20
+#: Bytes of the longest word that is hashed with others, eight bytes of all at a time; longer ones are digested alone.
+_LONGEST = 256
+_LOW_BYTES = np.array([(1 << 8 * many) - 1 for many in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -40,16 +43,28 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        """Of each word's bytes; worked out block by block, so that long texts take little memory."""
-        out = np.empty(len(self.starts), np.uint64)
-        low = 0
-        while low < len(self.starts):
-            high = max(low + 1, int(np.searchsorted(self.ends, self.starts[low] + _BLOCK, "right")))
-            begin, end = self.starts[low], self.ends[high - 1]
-            block = Ranges(self.data[begin:end].astype(np.uint64) + np.uint64(1), _LETTER_BASE)
-            out[low:high] = block.hash(self.starts[low:high] - begin, self.ends[low:high] - begin, 1)
-            low = high
+    def hashes(self, which: int = 0) -> np.ndarray:
+        """Of each word's bytes; `which` picks one of several independent ones.
+
+        Every eight bytes are mixed into all that came before, so no regularity of
+        a word's letters can make two words equal, as it can in sums of powers.
+        """
+        lengths = self.ends - self.starts
+        out = mix(lengths.astype(np.uint64), 21 + which)
+        if not len(out):
+            return out
+        eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([self.data, np.zeros(8, np.uint8)]), 8)
+        left = np.flatnonzero(lengths <= _LONGEST)
+        done = 0
+        while len(left):
+            part = eight[self.starts[left] + done].view("<u8").ravel()
+            part = part & _LOW_BYTES[np.minimum(lengths[left] - done, 8)]
+            out[left] = mix(out[left] ^ mix(part, 31 + which), 41 + which)
+            done += 8
+            left = left[lengths[left] > done]
+        for word in np.flatnonzero(lengths > _LONGEST).tolist():
+            digest = hashlib.blake2b(self.data[self.starts[word] : self.ends[word]], digest_size=8, salt=bytes([which]))
+            out[word] = int.from_bytes(digest.digest(), "little")
         return out
 
 

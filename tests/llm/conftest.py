@@ -43,13 +43,15 @@ def given(spark, tmp_path_factory):
     items = [(1, " ".join(words[3:20])), (2, "A, x!"), (2, " ".join(words[30:41])), (10, None), (None, " ".join(words[20:30])), (11, "")]
     items += [(12, "Never seen words in any of the documents that were made for this test")]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    turns = [(i // 3, i % 3, "user", f"turn {i % 4}") for i in range(330)] + [(None, 0, None, None), (5, None, None, "x")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
     return folder
 
 
 @pytest.fixture(scope="session")
 def empty(spark, given, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "labels", "benchmark"):
+    for name in ("documents", "labels", "benchmark", "conversations"):
         spark.read.parquet(f"{given}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return folder
 
