@@ -30,8 +30,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first of each group of near-duplicates."""
-    return near_dedup.without_near_copies(docs)
+    """The first of each group of near-duplicates, which share 0.8 of their runs of five words."""
+    return near_dedup.without_near_copies(docs, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,7 +87,7 @@ def test_exact_copies(spark, given, docs):
     assert result(spark, "op5_exact_dedup", given, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == wanted
 
 
-def near_components(docs):
+def near_components(docs, percent=85):
     sets = []
     for _, text, _ in docs:
         words = WORD.findall("".join(c.lower() if c.isascii() else c for c in text))
@@ -95,7 +95,7 @@ def near_components(docs):
     part = list(range(len(docs)))
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 low, high = sorted((part[i], part[j]))
                 part = [low if p == high else p for p in part]
     return sets, part
@@ -228,7 +228,7 @@ def test_suffix_array_by_induced_sorting():
 
 
 def test_pipeline_stages(spark, given, docs):
-    """Each filtering stage keeps what its operator's query says, with all columns; copies of a row go together."""
+    """Each filtering stage keeps what its operator says, near copies from 0.8 on, with all columns; copies of a row go together."""
     table = spark.read.parquet(f"{given}/documents.parquet")
     key = ["doc_id", "text"]
     kept = {name: stage(spark, table, given) for name, stage in corpus_pipeline.STAGES[1:4]}
@@ -237,7 +237,7 @@ def test_pipeline_stages(spark, given, docs):
     texts = [re.sub(r"[\x20\x09-\x0D]+", " ", text) for _, text, _ in docs]
     first = [i for i, text in enumerate(texts) if text not in texts[:i]]
     assert got["exact_dedup"] == Counter(docs[i][:2] for i in first)
-    sets, part = near_components(docs)
+    sets, part = near_components(docs, 80)
     assert got["near_dedup"] == Counter(d[:2] for i, d in enumerate(docs) if docs[part[i]][:2] == d[:2] or not sets[i])
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "decontaminate", "encode"]
 
@@ -248,7 +248,7 @@ def test_pipeline_run(spark, given, docs):
     good = [doc for doc in docs if model.score([memoryview(doc[1].encode())])[0] >= quality.KEEP_FROM]
     texts = [re.sub(r"[\x20\x09-\x0D]+", " ", text) for _, text, _ in good]
     single = [doc for i, doc in enumerate(good) if texts[i] not in texts[:i]]
-    sets, part = near_components(single)
+    sets, part = near_components(single, 80)
     apart = [doc for i, doc in enumerate(single) if part[i] == i]
     windows = benchmark_windows(spark, given)
     clean = [doc for doc in apart if not benchmark_hits(doc[1], windows)[1]]
