@@ -52,6 +52,11 @@ def byte_names() -> list[str]:
     return [names[byte] for byte in range(256)]
 
 
+def _packed(ids: np.ndarray | list[int]) -> bytes:
+    """Ids as little-endian 32-bit numbers."""
+    return np.asarray(ids, "<u4").tobytes()
+
+
 class SegmentTree:
     """Minimum over a list with point updates in logarithmic time."""
 
@@ -142,8 +147,8 @@ class Vocabulary:
                 tree.update(before[place], value(before[place]))
         return [symbol for symbol in symbols if symbol >= 0]
 
-    def encode_matrix(self, words: list[bytes], width: int) -> list[list[int]]:
-        """Token ids of words of at most `width` bytes, a power of two; a row of trees, one step for all."""
+    def encode_matrix(self, words: list[bytes], width: int) -> list[bytes]:
+        """Packed token ids of words of at most `width` bytes, a power of two; a row of trees, one step for all."""
         rows, lengths = len(words), np.array([len(word) for word in words])
         symbols = np.full((rows, width + 1), -1, np.int64)
         letters = np.frombuffer(b"".join(words), np.uint8)
@@ -180,7 +185,7 @@ class Vocabulary:
             self._update(tree, rows_, ahead, np.where(ranks < _NO_RANK, ranks * width + ahead, _NO_RANK), width)
             live = live[tree[live, 1] < _NO_RANK]
         left = symbols[:, :width] >= 0
-        flat, ends = symbols[:, :width][left].tolist(), np.cumsum(left.sum(1)).tolist()
+        flat, ends = _packed(symbols[:, :width][left]), (4 * np.cumsum(left.sum(1))).tolist()
         return [flat[start:end] for start, end in zip([0, *ends], ends)]
 
     @staticmethod
@@ -194,13 +199,17 @@ class Vocabulary:
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Token ids of each word."""
+        return [np.frombuffer(ids, "<u4").tolist() for ids in self.packed_words(words)]
+
+    def packed_words(self, words: list[str]) -> list[bytes]:
+        """Packed token ids of each word."""
         raw = [word.encode("utf-8") for word in words]
-        out: list[list[int]] = [[] for _ in raw]
+        out = [b""] * len(raw)
         by_width: dict[int, list[int]] = {}
         for i, word in enumerate(raw):
             width = 1 << max(1, (len(word) - 1).bit_length())
             if width > MATRIX_SYMBOLS:
-                out[i] = self.encode_word(word)
+                out[i] = _packed(self.encode_word(word))
             else:
                 by_width.setdefault(width, []).append(i)
         for width, members in by_width.items():
@@ -215,7 +224,7 @@ class Vocabulary:
 
 
 class Coder:
-    """Encodes and decodes texts; keeps the pieces it has met."""
+    """Encodes and decodes texts; keeps the pieces it has met in two generations, of which the older one is given up."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -226,8 +235,8 @@ class Coder:
         # Only its rules for splitting rare scripts are used, never its merges.
         library = Tokenizer.from_file(path)
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
-        self.words: dict[str, list[int]] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.byte_of = {ord(name): byte for byte, name in enumerate(byte_names())}
 
     def _split(self, text: str) -> list[str]:
@@ -243,12 +252,17 @@ class Coder:
         return [piece[1:]] if piece[0] == "\0" else _WORD.findall(piece)
 
     def _learn(self, pieces: list[str]) -> None:
-        split = [self._words_of(piece) for piece in pieces]
-        words = list({word for words in split for word in words} - self.words.keys())
-        self.words.update(zip(words, self.vocabulary.encode_words(words), strict=True))
-        known = self.words
-        for piece, words in zip(pieces, split, strict=True):
-            self.pieces[piece] = np.array([number for word in words for number in known[word]], "<u4").tobytes()
+        """Encodes new pieces. One of letters alone is a word; the others are split, and their words looked up too."""
+        split = {piece: self._words_of(piece) for piece in pieces if not piece.isalpha()}
+        known = self.pieces
+        words = {piece for piece in pieces if piece not in split}
+        # A word of letters is kept as a piece as well; another one could be split differently as a piece, so it is not.
+        words.update(word for found in split.values() for word in found if not (word.isalpha() and word in known))
+        order = list(words)
+        coded = dict(zip(order, self.vocabulary.packed_words(order), strict=True))
+        known.update((word, ids) for word, ids in coded.items() if word.isalpha())
+        for piece, found in split.items():
+            known[piece] = b"".join([coded[word] if word in coded else known[word] for word in found])
 
     def encode(self, texts_: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
@@ -257,16 +271,18 @@ class Coder:
             parts = self.special.split(text) if self.special else [text]
             cut.append([(part if i % 2 else self._split(part)) for i, part in enumerate(parts)])
         new = {piece for parts in cut for part in parts[::2] for piece in part}
-        new -= self.pieces.keys()
         if len(self.pieces) + len(new) > CACHE:
-            self.words.clear()
-            self.pieces.clear()
-            new = {piece for parts in cut for part in parts[::2] for piece in part}
+            self.older, self.pieces = self.pieces, {}
+        new -= self.pieces.keys()
+        if self.older:
+            again = new & self.older.keys()
+            self.pieces.update((piece, self.older[piece]) for piece in again)
+            new -= again
         self._learn(list(new))
         special = self.vocabulary.special
         return [
             b"".join(
-                np.array([special[part]], "<u4").tobytes() if i % 2 else b"".join(map(self.pieces.__getitem__, part))
+                _packed([special[part]]) if i % 2 else b"".join(map(self.pieces.__getitem__, part))
                 for i, part in enumerate(parts)
             )
             for parts in cut
@@ -277,6 +293,17 @@ class Coder:
         return self.vocabulary.decode(np.frombuffer(ids, "<u4"))
 
 
+_coders: dict[str, Coder] = {}
+
+
+def _coder(path: str) -> Coder:
+    """The worker's coder of a vocabulary; kept from task to task, one vocabulary at a time."""
+    if path not in _coders:
+        _coders.clear()
+        _coders[path] = Coder(path)
+    return _coders[path]
+
+
 def round_trips(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian 32-bit numbers) and decoded text of every row."""
     return _coded(docs, path, lambda ids, text: [ids, text], "ids binary, decoded string", [pa.binary(), pa.string()])
@@ -296,7 +323,7 @@ def _coded(docs: DataFrame, path: str, make, columns: str, kinds: list[pa.DataTy
     names = [column.split()[0] for column in columns.split(", ")]
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(path)
+        coder = _coder(path)
         for batch, _, _ in slices(batches):
             ids = coder.encode(batch.column("text").to_pylist())
             made = list(zip(*(make(each, coder.decode(each)) for each in ids), strict=True))
