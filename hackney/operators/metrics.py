@@ -17,7 +17,17 @@ from pyspark.sql import functions as F
 from hackney.functions.dayparts import day_of_week_number, start_of_hour, time_of_day
 from hackney.functions.measures import round_to_cents
 from hackney.functions.places import borough_of_trip, grid_bucket, is_located
-from hackney.functions.totals import average, exact_sum, group_parts, parts_by, regroup_parts, total
+from hackney.functions.totals import (
+    average,
+    group_moments,
+    group_parts,
+    parts_by,
+    regroup_moments,
+    regroup_parts,
+    summed_moments,
+    total,
+    with_correlations,
+)
 
 
 _CELL_AMOUNTS = [
@@ -31,18 +41,58 @@ _CELL_AMOUNTS = [
 _PLACE_AMOUNTS = ["total_amount", "fare_amount"]
 
 
-def hourly_cells(fact: DataFrame) -> DataFrame:
-    """The fact grouped by pickup hour, payment type and rate code, for all numbers that need no place."""
-    return group_parts(
-        fact,
-        [start_of_hour(F.col("pickup_datetime")).alias("pickup_datetime"), "payment_type_key", "rate_code_key"],
-        _CELL_AMOUNTS,
-    )
+_HOURLY = ["pickup_datetime", "payment_type_key", "rate_code_key"]
+_PLACES = ["borough", "lat_bucket", "lon_bucket"]
+_ROUTES = ["pickup_borough", "dropoff_borough"]
+
+
+def hourly_cells(fact: DataFrame, *more: str) -> DataFrame:
+    """The fact grouped by pickup hour, payment type and rate code, for all numbers that need no place; and by further columns."""
+    hour = start_of_hour(F.col("pickup_datetime")).alias("pickup_datetime")
+    return group_parts(fact, [hour, *_HOURLY[1:], *more], _CELL_AMOUNTS)
+
+
+def place_cells(located: DataFrame, *more: str) -> DataFrame:
+    """Located trips grouped by borough and grid cell, and by further columns."""
+    return group_parts(located, [*_PLACES, *more], _PLACE_AMOUNTS)
 
 
-def place_cells(located: DataFrame) -> DataFrame:
-    """Located trips grouped by borough and grid cell."""
-    return group_parts(located, ["borough", "lat_bucket", "lon_bucket"], _PLACE_AMOUNTS)
+def daily_cells(fact: DataFrame, located: DataFrame, day: str) -> dict[str, DataFrame]:
+    """All that the metrics need of the trips, grouped by day and small beside them."""
+    return {
+        "hourly_cells": hourly_cells(fact, day),
+        "place_cells": place_cells(located, day),
+        "route_cells": routes_by_own_boroughs(located, day),
+        "efficiency_moments": efficiency_moments(located, day),
+    }
+
+
+def merged_cells(name: str, cells: DataFrame, day: str) -> DataFrame:
+    """One row per cell of the cells of several loads."""
+    if name == "efficiency_moments":
+        return regroup_moments(cells, [day, "borough", *(f"has_{amount}" for amount in _EFFICIENCY_AMOUNTS)], _EFFICIENCY_AMOUNTS)
+    keys, amounts = {
+        "hourly_cells": (_HOURLY, _CELL_AMOUNTS), "place_cells": (_PLACES, _PLACE_AMOUNTS), "route_cells": (_ROUTES, [])
+    }[name]
+    return regroup_parts(cells, [day, *keys], amounts)
+
+
+def from_cells(cells: dict[str, DataFrame], dim_payment_type: DataFrame, dim_rate_code: DataFrame) -> dict[str, DataFrame]:
+    """All metrics, from cells of all days."""
+    by_hour, by_place = cells["hourly_cells"], cells["place_cells"]
+    return {
+        "kpi_summary": kpi_summary(by_hour),
+        "trips_by_time_of_day": trips_by_time_of_day(by_hour),
+        "fare_by_time_of_day": fare_by_time_of_day(by_hour),
+        "tips_by_payment_type": tips_by_payment_type(by_hour, dim_payment_type),
+        "revenue_by_rate_code": revenue_by_rate_code(by_hour, dim_rate_code),
+        "demand_by_day_hour": demand_by_day_hour(by_hour),
+        "fare_by_borough": fare_by_borough(by_place),
+        "demand_by_grid": demand_by_grid(by_place),
+        "trips_by_borough": trips_by_own_borough(by_place),
+        "trip_route_boroughs": regroup_parts(cells["route_cells"], _ROUTES, []),
+        "trip_efficiency": efficiency(cells["efficiency_moments"]),
+    }
 
 
 def kpi_summary(source: DataFrame) -> DataFrame:
@@ -177,51 +227,45 @@ def demand_by_grid(source: DataFrame) -> DataFrame:
     return parts_by(source, ["lat_bucket", "lon_bucket"], [])
 
 
-def _mean(x: Column) -> Column:
-    return exact_sum(x).cast("double") / F.nullif(F.count(x), F.lit(0))
+_EFFICIENCY_AMOUNTS = ["trip_distance", "trip_duration_minutes", "total_amount"]
+_CORRELATIONS = {
+    "corr_distance_duration": ("trip_distance", "trip_duration_minutes"),
+    "corr_distance_fare": ("trip_distance", "total_amount"),
+    "corr_duration_fare": ("trip_duration_minutes", "total_amount"),
+}
 
 
-def _correlation(x: Column, y: Column) -> Column:
-    """Correlation over the rows with both values, from exact sums; NULL where one of them does not vary."""
-    both = x.isNotNull() & y.isNotNull()
-    x, y = F.when(both, x), F.when(both, y)
-    mean_x, mean_y = _mean(x), _mean(y)
-    covariance = _mean(x * y) - mean_x * mean_y
-    variances = (_mean(x * x) - mean_x * mean_x) * (_mean(y * y) - mean_y * mean_y)
-    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y)) & (variances > 0)
-    return F.when(varies, F.try_divide(covariance, F.sqrt(variances)))
+def efficiency_moments(located: DataFrame, *more: str) -> DataFrame:
+    """What means and correlations of distance, duration and fare need, per borough and further columns."""
+    return group_moments(located, ["borough", *more], _EFFICIENCY_AMOUNTS)
 
 
-def trip_efficiency(located: DataFrame) -> DataFrame:
+def efficiency(moments: DataFrame) -> DataFrame:
     """Means of distance, duration and fare and how they move together, per borough and over all trips.
 
-    All come from sums that do not depend on the order of the trips.
+    The row for all trips comes from the boroughs' moments. These do not depend
+    on the order of the trips.
     """
-    distance, fare = F.col("trip_distance"), F.col("total_amount")
-    minutes = F.col("trip_duration_minutes").cast("double")
-    means = {
-        "average_trip_distance": distance,
-        "average_trip_duration_minutes": minutes,
-        "average_total_amount": fare,
-    }
-    correlations = {
-        "corr_distance_duration": (distance, minutes),
-        "corr_distance_fare": (distance, fare),
-        "corr_duration_fare": (minutes, fare),
-    }
-    return located.rollup("borough").agg(
-        F.grouping("borough").cast("boolean").alias("is_all_trips"),
-        F.count(F.lit(1)).alias("trips"),
-        *(_mean(column).alias(name) for name, column in means.items()),
-        *(round_to_cents(_correlation(*pair)).alias(name) for name, pair in correlations.items()),
+    sums = summed_moments(moments, "borough", _EFFICIENCY_AMOUNTS, _CORRELATIONS)
+    return with_correlations(sums, list(_CORRELATIONS)).select(
+        "borough",
+        "is_all_trips",
+        "trips",
+        *(average(name).alias(f"average_{name}") for name in _EFFICIENCY_AMOUNTS),
+        *(round_to_cents(F.col(name)).alias(name) for name in _CORRELATIONS),
     )
 
 
-def routes_by_own_boroughs(located: DataFrame) -> DataFrame:
+def trip_efficiency(located: DataFrame) -> DataFrame:
+    """The same from located trips, which are grouped once."""
+    return efficiency(efficiency_moments(located))
+
+
+def routes_by_own_boroughs(located: DataFrame, *more: str) -> DataFrame:
     """Trips from borough to borough by the trips' own coordinates: no join, and a few rows to shuffle."""
     dropoff = borough_of_trip(F.col("dropoff_latitude"), F.col("dropoff_longitude"))
     by = [F.col("borough").alias("pickup_borough"), dropoff.alias("dropoff_borough")]
-    return group_parts(located, by, [])
+    return group_parts(located, [*by, *more], [])
 
 
 def trip_route_boroughs(fact: DataFrame, dim_location: DataFrame) -> DataFrame:

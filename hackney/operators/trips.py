@@ -10,6 +10,9 @@ from hackney.functions.measures import within_duration
 from hackney.schemas import LONGEST_MINUTES, SHORTEST_MINUTES
 
 
+PICKUP_DATE = "pickup_date"
+
+
 def is_valid() -> Column:
     """Condition on a staged trip to enter the fact table; NULL for a trip without a duration.
 
@@ -74,6 +77,11 @@ def fact_trip(staged: DataFrame) -> DataFrame:
     )
 
 
+def with_pickup_date(trips: DataFrame) -> DataFrame:
+    """Adds the day by which published trips are laid out."""
+    return trips.withColumn(PICKUP_DATE, F.to_date("pickup_datetime"))
+
+
 def quarantine_trips(staged: DataFrame) -> DataFrame:
     """The trips that are not in the fact table, with the reasons; fact and quarantine make up all trips."""
     reasons = [F.when(condition, F.lit(name)) for name, condition in reject_reasons().items()]

@@ -6,6 +6,9 @@ source counts. Spark's plain tables have no update, and a log keeps the past.
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 from hackney.plans.warehouse import AUDIT, CONTROL, Warehouse
 from hackney.schemas import AUDIT_SCHEMA, BOOKMARK_SCHEMA
 
+log = logging.getLogger(__name__)
+
 WATERMARKS = "watermarks"
 PIPELINE_RUNS = "pipeline_runs"
 
@@ -80,5 +85,38 @@ def log_run(warehouse: Warehouse, run: Run) -> None:
     warehouse.append(AUDIT, PIPELINE_RUNS, [row], AUDIT_SCHEMA)
 
 
+def _log_quietly(warehouse: Warehouse, run: Run) -> None:
+    try:
+        log_run(warehouse, run)
+    except Exception:
+        log.exception("audit log not written, run_id=%s", run.run_id)
+
+
+@contextmanager
+def failure_recorded(warehouse: Warehouse, run: Run) -> Iterator[None]:
+    """Leaves a failed row in the audit log if the work raises, and nothing else."""
+    try:
+        yield
+    except Exception as error:
+        run.status, run.failure_reason, run.rows_loaded = FAILED, str(error), 0
+        _log_quietly(warehouse, run)
+        raise
+
+
+@contextmanager
+def recorded(warehouse: Warehouse, run: Run) -> Iterator[None]:
+    """Leaves a row in the audit log however the work ends. A log that cannot be written does not hide how it ended."""
+    with failure_recorded(warehouse, run):
+        yield
+    _log_quietly(warehouse, run)
+
+
 def read_runs(warehouse: Warehouse) -> DataFrame:
     return warehouse.read_log(AUDIT, PIPELINE_RUNS, AUDIT_SCHEMA)
+
+
+def merge_logs(warehouse: Warehouse, most: int = 100) -> int:
+    """Merges the files of bookmarks, audit log and versions where a log has many. Returns how many were taken up."""
+    found = warehouse.merge_log(CONTROL, WATERMARKS, BOOKMARK_SCHEMA, most)
+    found += warehouse.merge_log(AUDIT, PIPELINE_RUNS, AUDIT_SCHEMA, most)
+    return found + warehouse.merge_logs(most)

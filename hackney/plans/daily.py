@@ -9,7 +9,6 @@ these, and name the version they are made of, which the metrics use too.
 from __future__ import annotations
 
 import argparse
-import logging
 import os
 import uuid
 
@@ -17,17 +16,23 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from hackney.operators import metrics, quality, staging, trips
-from hackney.plans import control
+from hackney.plans import control, growth
 from hackney.plans.model import MARTS as MART_TABLES
 from hackney.plans.model import STAGING as STAGED_TABLES
 from hackney.plans.model import Model
+from hackney.plans.views import open_catalog
 from hackney.plans.warehouse import AUDIT, MARTS, QUARANTINE, RAW, STAGING, Warehouse, schema_name
 from hackney.session import build_session
-from hackney.sources.trip_files import BAD_LINE, bad_lines, good_lines, read_trip_files
+from hackney.sources.trip_files import (
+    WrongHeader,
+    bad_lines,
+    files_with_another_header,
+    good_lines,
+    line_counts,
+    read_trip_files,
+)
 from hackney.streaming.new_files import load_new_files, read_new_trips
 
-log = logging.getLogger(__name__)
-
 SOURCE_NAME = "trips_csv"
 BATCH_ID = "trips_csv_full"
 RAW_TRIPS = "trips_staged"
@@ -35,9 +40,15 @@ STAGED_TRIPS = "stg_trips"
 SOURCE_TRIPS = "source_trips"
 BAD_LINES = "bad_lines"
 QUALITY_REPORT = "quality_report"
+RELATIONSHIPS = "relationship_report"
+ROW_CHECKS = "row_checks"
+FAILED_CHECKS = "failed_checks"
 METRICS = "metrics"
 
 
+_ROW_CHECKS_SCHEMA = "check_name string, failures long, location string"
+
+
 class BadLines(ValueError):
     """The source has lines with a wrong number of cells."""
 
@@ -45,35 +56,26 @@ class BadLines(ValueError):
 def load(warehouse: Warehouse, source: str, fail_on_bad_lines: bool = False) -> control.Run:
     """Loads the source in full unless an earlier run has; every run leaves a row in the audit log."""
     run = control.Run(run_id=str(uuid.uuid4()), started=control.now())
-    try:
+    with control.recorded(warehouse, run):
         if control.read_bookmark(warehouse, SOURCE_NAME).total_rows_loaded > 0:
             run.status = control.SKIPPED
         else:
             _load_all(warehouse, source, run, fail_on_bad_lines)
             run.status = control.SUCCESS
-    except Exception as error:
-        run.failure_reason = str(error)
-        raise
-    finally:
-        try:
-            control.log_run(warehouse, run)
-        except Exception:
-            log.exception("audit log not written, run_id=%s", run.run_id)
     return run
 
 
 def _load_all(warehouse: Warehouse, source: str, run: control.Run, fail_on_bad_lines: bool) -> None:
     observation = Observation()
     lines = read_trip_files(warehouse.spark, source, run.run_id, BATCH_ID)
-    counted = lines.observe(
-        observation,
-        F.count(F.lit(1)).alias("extracted"),
-        F.count(BAD_LINE).alias("rejected"),
-    )
+    counted = lines.observe(observation, *(count.alias(name) for name, count in line_counts().items()))
     # The files are read once; only a source with bad lines is read again for them.
     version = warehouse.write(RAW, RAW_TRIPS, good_lines(counted))
     counts = observation.get
     run.rows_extracted, run.rows_rejected = counts["extracted"], counts["rejected"]
+    # Only where there are not as many headers as files are the files looked at one by one.
+    if counts["headers"] != len(lines.inputFiles()) and (others := files_with_another_header(lines)):
+        raise WrongHeader(f"{len(others)} files have another header than the first: {', '.join(others[:5])}")
     if run.rows_rejected:
         if fail_on_bad_lines:
             raise BadLines(f"{run.rows_rejected} lines with a wrong number of cells")
@@ -111,18 +113,45 @@ def build_marts(warehouse: Warehouse) -> dict[str, int]:
     """Writes all mart tables and the quarantine anew, from the typed trips. Returns the rows of each."""
     (source,) = warehouse.locations(STAGING, STAGED_TRIPS)
     model = Model(warehouse.spark, written=warehouse.spark.read.parquet(source))
-    written = warehouse.publish(MARTS, model.marts(), also={SOURCE_TRIPS: source})
-    return written | warehouse.publish(QUARANTINE, {"trips": model.quarantine_trips})
+    checked = {"fact_trip": quality.row_conditions("fact_trip")}
+    marts = model.marts()
+    marts["fact_trip"] = trips.with_pickup_date(marts["fact_trip"])
+    by = {"fact_trip": trips.PICKUP_DATE}
+    written = warehouse.publish_observed(MARTS, marts, also={SOURCE_TRIPS: source}, wanted=checked, by=by)
+    found = [(name, written["fact_trip"][name], written["fact_trip"]["location"]) for name in checked["fact_trip"]]
+    warehouse.append(AUDIT, ROW_CHECKS, found, _ROW_CHECKS_SCHEMA)
+    rows = {name: counts["rows"] for name, counts in written.items()}
+    return rows | warehouse.publish(QUARANTINE, {"trips": model.quarantine_trips})
 
 
 def read_marts(warehouse: Warehouse) -> dict[str, DataFrame]:
     return dict(zip(MART_TABLES, warehouse.read(MARTS, *MART_TABLES)))
 
 
+def checked_while_written(warehouse: Warehouse) -> dict[str, int]:
+    """Failures of checks on the fact's rows, counted when they were written; none unless one run wrote all of the fact."""
+    folders = {os.path.dirname(folder) for folder in warehouse.parts(MARTS, "fact_trip").values()}
+    if len(folders) != 1:
+        return {}
+    found = warehouse.read_log(AUDIT, ROW_CHECKS, _ROW_CHECKS_SCHEMA).filter(F.col("location") == folders.pop())
+    return {row.check_name: row.failures for row in found.collect()}
+
+
 def check_marts(warehouse: Warehouse) -> None:
-    """Publishes the report of all checks and raises if one failed."""
-    warehouse.publish(AUDIT, {QUALITY_REPORT: quality.report(read_marts(warehouse))})
-    quality.require_all_passed(warehouse.read_one(AUDIT, QUALITY_REPORT))
+    """Publishes the report of all checks and the failing rows, and raises if a check failed.
+
+    References without a row in their dimension are reported with them but do
+    not stop a run: unknown codes are kept on purpose. Only a failed check has
+    its table read again, for the failing rows.
+    """
+    marts = read_marts(warehouse)
+    reports = {QUALITY_REPORT: quality.report(marts, known=checked_while_written(warehouse)), RELATIONSHIPS: quality.relationships(marts)}
+    warehouse.publish(AUDIT, reports)
+    report = warehouse.read_one(AUDIT, QUALITY_REPORT)
+    failed = {row.check_name for row in report.filter("failures > 0").collect()}
+    found = quality.failures(marts, [check for check in quality.ALL_CHECKS if check.name in failed])
+    warehouse.publish(QUARANTINE, {FAILED_CHECKS: found})
+    quality.require_all_passed(report)
 
 
 def publish_metrics(warehouse: Warehouse) -> None:
@@ -133,38 +162,30 @@ def publish_metrics(warehouse: Warehouse) -> None:
     *tables, source = warehouse.read(MARTS, *MART_TABLES, SOURCE_TRIPS)
     marts = dict(zip(MART_TABLES, tables))
     located = metrics.located_trips(trips.valid_trips(source))
-    cells = {"hourly_cells": metrics.hourly_cells(marts["fact_trip"]), "place_cells": metrics.place_cells(located)}
-    warehouse.publish(METRICS, cells)
-    by_hour, by_place = warehouse.read(METRICS, *cells)
-    answers = {
-        "kpi_summary": metrics.kpi_summary(by_hour),
-        "trips_by_time_of_day": metrics.trips_by_time_of_day(by_hour),
-        "fare_by_time_of_day": metrics.fare_by_time_of_day(by_hour),
-        "tips_by_payment_type": metrics.tips_by_payment_type(by_hour, marts["dim_payment_type"]),
-        "revenue_by_rate_code": metrics.revenue_by_rate_code(by_hour, marts["dim_rate_code"]),
-        "demand_by_day_hour": metrics.demand_by_day_hour(by_hour),
-        "fare_by_borough": metrics.fare_by_borough(by_place),
-        "demand_by_grid": metrics.demand_by_grid(by_place),
-        "trips_by_borough": metrics.trips_by_own_borough(by_place),
-        "trip_route_boroughs": metrics.routes_by_own_boroughs(located),
-        "trip_efficiency": metrics.trip_efficiency(located),
-    }
-    warehouse.publish(METRICS, answers)
+    warehouse.publish(METRICS, metrics.daily_cells(marts["fact_trip"], trips.with_pickup_date(located), trips.PICKUP_DATE))
+    growth.publish_metrics(warehouse)
 
 
 def daily_run(warehouse: Warehouse, source: str, new_files_only: bool = False) -> None:
-    """All stages in order. A failed check stops the run before the metrics are published."""
+    """All stages in order. A failed check stops the run before the metrics are published.
+
+    With new files only, the marts grow by these files' trips, and the old trips are not read.
+    """
     if new_files_only:
         load_new_files(warehouse, source)
+        growth.grow(warehouse)
+        check_marts(warehouse)
+        growth.publish_metrics(warehouse)
     else:
         load(warehouse, source)
-    model = new_files_model(warehouse) if new_files_only else full_model(warehouse)
-    stage_trips(warehouse, model.raw)
-    build_marts(warehouse)
-    check_marts(warehouse)
-    publish_metrics(warehouse)
-    warehouse.register()
+        stage_trips(warehouse, full_model(warehouse).raw)
+        build_marts(warehouse)
+        check_marts(warehouse)
+        publish_metrics(warehouse)
+    open_catalog(warehouse)
     warehouse.drop_old_versions()
+    control.merge_logs(warehouse)
+    warehouse.merge_log(AUDIT, ROW_CHECKS, _ROW_CHECKS_SCHEMA)
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -172,7 +193,7 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--root", required=True, help="shared folder of the tables")
     parser.add_argument("--source", help="trip file or folder of trip files, for load and all")
     parser.add_argument("--new-files", action="store_true", help="load only files that no run has loaded yet")
-    stages = ["load", "staging", "marts", "checks", "metrics", "register", "all"]
+    stages = ["load", "staging", "marts", "grow", "checks", "metrics", "register", "all"]
     parser.add_argument("stage", choices=stages, nargs="?", default="all", help="marts stages the trips as well")
     options = parser.parse_args(arguments)
     if options.stage in ("load", "all") and not options.source:
@@ -187,12 +208,14 @@ def main(arguments: list[str] | None = None) -> None:
     elif options.stage == "marts":
         stage_trips(warehouse, model_of(warehouse).raw)
         build_marts(warehouse)
+    elif options.stage == "grow":
+        growth.grow(warehouse)
     elif options.stage == "checks":
         check_marts(warehouse)
     elif options.stage == "metrics":
-        publish_metrics(warehouse)
+        (growth.publish_metrics if options.new_files else publish_metrics)(warehouse)
     elif options.stage == "register":
-        warehouse.register()
+        open_catalog(warehouse)
     else:
         daily_run(warehouse, options.source, options.new_files)
 

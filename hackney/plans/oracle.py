@@ -244,6 +244,18 @@ _ROW_TESTS = " union all ".join(
 )
 
 
+def _relationship(column: str, dimension: str) -> str:
+    name = quality.Check("fact_trip", "relationship", column).name
+    unknown = f"{column} is not null and {column} not in (select {quality.KEYS[dimension]} from {dimension} where {quality.KEYS[dimension]} is not null)"
+    return f"""select '{name}' as check_name, 'fact_trip' as table_name, '{dimension}' as dimension,
+                      count(*) filter (where {unknown}) as failures,
+                      count(distinct {column}) filter (where {unknown}) as failing_keys,
+                      count(*) filter (where {column} is null) as rows_without_key from fact_trip"""
+
+
+_RELATIONSHIPS = " union all ".join(_relationship(column, dimension) for column, dimension in quality.REFERENCES.items())
+
+
 def _before_and_after(condition: str) -> str:
     return " union all ".join(
         f"""select '{table}' as table_name, count(*) as rows_checked,
@@ -355,6 +367,7 @@ _QUERIES = {
     "dq_no_negative_fares": _before_and_after("fare_amount < 0"),
     "dq_dropoff_after_pickup": _before_and_after("dropoff_datetime < pickup_datetime"),
     "dq_report": f"{_UNIQUE} union all {_NOT_NULL} union all {_ROW_TESTS}",
+    "dq_relationships": _RELATIONSHIPS,
     "kpi_summary": f"""
         select {_sum("total_amount")} as total_revenue, count(*) as total_trips,
                {_average("total_amount")} as average_fare, {_average("trip_distance")} as average_distance,

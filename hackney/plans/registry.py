@@ -188,6 +188,7 @@ def queries() -> dict[str, Query]:
             lambda m: quality.count_before_and_after(quality.DROPOFF_AFTER_PICKUP, m.stg_trips, m.fact_trip)
         ),
         "dq_report": _on_model(lambda m: quality.report(m.marts())),
+        "dq_relationships": _on_model(lambda m: quality.relationships(m.marts())),
         # Metrics
         "kpi_summary": _on_model(lambda m: metrics.kpi_summary(m.fact_trip)),
         "trips_by_borough": _on_model(lambda m: metrics.trips_by_borough(m.fact_trip, m.dim_location)),

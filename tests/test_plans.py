@@ -1,5 +1,7 @@
+import json
 import shutil
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,8 +12,8 @@ from hackney.plans import control, daily
 from hackney.plans.warehouse import AUDIT, CONTROL, MARTS, QUARANTINE, RAW, NotPublished, Warehouse, schema_name
 from hackney.schemas import AUDIT_SCHEMA, BOOKMARK_SCHEMA, RAW_COLUMNS, RAW_SCHEMA, SOURCE_COLUMNS
 from hackney.sources.event_trips import trips_from_events
-from hackney.sources.trip_files import WrongColumnCount
-from hackney.streaming.new_files import NEW_BAD_LINES, NEW_TRIPS, load_new_files, read_new_trips
+from hackney.sources.trip_files import WrongColumnCount, WrongHeader
+from hackney.streaming.new_files import NEW_TRIPS, load_new_files, read_new_bad_lines, read_new_trips
 
 HEADER = ",".join(f"c{i}" for i in range(19))
 GOOD = "1,2016-03-01 10:00:00,2016-03-01 10:12:00,1,2.5,-73.98,40.75,1,N,-73.95,40.78,1,9.0,0.5,0.5,2.05,0.0,0.3,12.35"
@@ -98,6 +100,49 @@ def test_wrong_column_count_fails_and_is_logged(warehouse, tmp_path):
     assert control.read_bookmark(warehouse, daily.SOURCE_NAME).total_rows_loaded == 0
 
 
+def many_files(folder, other_header, number=30):
+    """Files of a good line each, one of which has other header."""
+    folder.mkdir()
+    for place in range(number):
+        write(folder / f"f{place:02}.csv", GOOD)
+    (folder / "f17.csv").write_text("\n".join([other_header, GOOD, GOOD, SHORT]) + "\n")
+
+
+SWAPPED = HEADER.replace("c9,c10", "c10,c9")
+
+
+def test_one_file_with_swapped_columns_stops_the_load(warehouse, tmp_path):
+    many_files(tmp_path / "in", SWAPPED)
+    with pytest.raises(WrongHeader, match="1 files have another header.*f17.csv"):
+        daily.load(warehouse, str(tmp_path / "in"))
+    assert newest_run(warehouse).execution_status == "FAILED"
+    with pytest.raises(NotPublished):
+        warehouse.read_one(RAW, daily.RAW_TRIPS)
+    write(tmp_path / "in" / "f17.csv", GOOD, GOOD)
+    assert daily.load(warehouse, str(tmp_path / "in")).rows_loaded == 31
+
+
+def test_one_file_with_swapped_columns_is_set_apart_by_the_stream(warehouse, tmp_path):
+    many_files(tmp_path / "in", SWAPPED)
+    load_new_files(warehouse, str(tmp_path / "in"))
+    run = newest_run(warehouse)
+    assert (run.execution_status, run.rows_loaded, run.rows_rejected) == ("SUCCESS", 29, 4)
+    assert "f17.csv" not in {row.source_file for row in read_new_trips(warehouse).collect()}
+    bad = read_new_bad_lines(warehouse).collect()
+    assert {row.source_file for row in bad} == {"f17.csv"} and SHORT in {row.bad_line for row in bad}
+    # A later batch is held against the first one's header.
+    (tmp_path / "in" / "g.csv").write_text("\n".join([SWAPPED, GOOD]) + "\n")
+    load_new_files(warehouse, str(tmp_path / "in"))
+    assert read_new_trips(warehouse).count() == 29 and read_new_bad_lines(warehouse).count() == 6
+
+
+def test_headers_may_differ_in_case_and_blanks(warehouse, tmp_path):
+    many_files(tmp_path / "in", HEADER.upper().replace(",", " , "), number=18)
+    assert daily.load(warehouse, str(tmp_path / "in")).rows_loaded == 19
+    load_new_files(warehouse, str(tmp_path / "in"))
+    assert read_new_trips(warehouse).count() == 19
+
+
 def test_missing_cells_and_quotes(warehouse, tmp_path):
     cells = GOOD.split(",")
     cells[0], cells[3], cells[8], cells[11] = "NA", "", '"a ""b"", c"', " "
@@ -207,6 +252,31 @@ def test_metrics_are_those_of_one_version(spark, warehouse, tmp_path):
     assert warehouse.drop_old_versions(keep=1) == 0
 
 
+def test_another_session_finds_tables_and_views(spark, warehouse):
+    """A session that only knows the root; the views' text says the same as the staged tables."""
+    from hackney.plans.model import Model
+    from hackney.plans.views import STAGED_VIEWS, open_catalog
+
+    model = Model(spark, trips_from_events(spark, f"{DATA}/sf0.001"))
+    warehouse.publish("staging", {daily.STAGED_TRIPS: model.typed})
+    daily.build_marts(warehouse)
+    other = spark.newSession()
+    other.sql("drop database if exists STAGING cascade")
+    other.sql("drop database if exists MARTS cascade")
+    open_catalog(Warehouse(other, warehouse.root))
+    assert other.table("MARTS.fact_trip").count() == model.fact_trip.count()
+    assert not any(table.isTemporary for table in other.catalog.listTables("STAGING"))
+    for name in STAGED_VIEWS:
+        view, frame = other.table(f"STAGING.{name}"), getattr(model, name)
+        assert view.dtypes == frame.dtypes, name
+        assert Counter(map(tuple, view.collect())) == Counter(map(tuple, frame.collect())), name
+    assert other.sql("select count(*) from STAGING.stg_trips where is_zero_distance").first()[0] > 0
+    # The views follow the tables: a new version shows once the catalog is opened again.
+    warehouse.publish("staging", {daily.STAGED_TRIPS: model.typed.limit(0)})
+    open_catalog(Warehouse(other, warehouse.root))
+    assert other.table("STAGING.stg_locations").count() == 0 and other.table("STAGING.stg_vendors").count() == 2
+
+
 def test_failed_check_stops_the_metrics(spark, warehouse, tmp_path):
     as_files(spark, tmp_path / "in")
     with pytest.raises(quality.QualityCheckFailed, match="not_null_dim_datetime_datetime_key: 1"):
@@ -215,6 +285,49 @@ def test_failed_check_stops_the_metrics(spark, warehouse, tmp_path):
         warehouse.read_one(daily.METRICS, "kpi_summary")
 
 
+def test_failing_rows_can_be_read_back(spark, warehouse):
+    from hackney.plans.model import Model
+
+    trips = trips_from_events(spark, f"{DATA}/sf0.001").filter(CLEAN)
+    model = Model(spark, trips)
+    warehouse.publish("staging", {daily.STAGED_TRIPS: model.typed})
+    daily.build_marts(warehouse)
+    daily.check_marts(warehouse)
+    assert warehouse.read_one(QUARANTINE, daily.FAILED_CHECKS).count() == 0
+    known = daily.checked_while_written(warehouse)
+    assert set(known) == set(quality.row_conditions("fact_trip")) and set(known.values()) == {0}
+    # Three trips change behind the checks' back; two of them become one key.
+    fact = warehouse.read_one(MARTS, "fact_trip")
+    bad = sorted(row.raw_id for row in fact.select("raw_id").limit(3).collect())
+    broken = fact.withColumn("fare_amount", F.when(F.col("raw_id") == bad[0], -2.5).otherwise(F.col("fare_amount")))
+    broken = broken.withColumn("trip_key", F.when(F.col("raw_id").isin(bad[1:]), "same").otherwise(F.col("trip_key")))
+    warehouse.publish(MARTS, {"fact_trip": broken})
+    assert daily.checked_while_written(warehouse) == {}
+    with pytest.raises(quality.QualityCheckFailed, match="not_negative_fact_trip_fare_amount: 1, unique_fact_trip_trip_key: 1"):
+        daily.check_marts(warehouse)
+    found = {row.check_name: json.loads(row.failing_row) for row in warehouse.read_one(QUARANTINE, daily.FAILED_CHECKS).collect()}
+    assert set(found) == {"not_negative_fact_trip_fare_amount", "unique_fact_trip_trip_key"}
+    assert found["not_negative_fact_trip_fare_amount"]["raw_id"] == bad[0]
+    assert found["not_negative_fact_trip_fare_amount"]["fare_amount"] == -2.5
+    assert found["unique_fact_trip_trip_key"] == {"trip_key": "same", "n": 2}
+    kinds = warehouse.read_one(AUDIT, daily.RELATIONSHIPS).select("check_name", "failures")
+    assert kinds.filter("check_name like '%location%' or check_name like '%datetime%'").agg(F.sum("failures")).first()[0] == 0
+
+
+def test_checks_read_the_fact_once(spark):
+    from hackney.plans.model import Model
+
+    model = Model(spark, trips_from_events(spark, f"{DATA}/sf0.001"))
+    fact_checks = [check for check in quality.ALL_CHECKS if check.table == "fact_trip"]
+    for frame, scans in ((quality.report(model.marts(), fact_checks), 1), (quality.relationships(model.marts()), 4)):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("] parquet") == scans, plan  # the dimensions of times and places are made of the trips, too
+    known = dict.fromkeys(quality.row_conditions("fact_trip"), 0)
+    rest = quality.report(model.marts(), fact_checks, known)
+    assert rest.count() == len(fact_checks)
+    assert "fare_amount" not in rest._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_failed_write_leaves_the_old_version(spark, warehouse):
     warehouse.publish(MARTS, {"numbers": spark.range(3)})
     with pytest.raises(Exception):
@@ -226,6 +339,58 @@ def test_failed_write_leaves_the_old_version(spark, warehouse):
     assert warehouse.read_one(MARTS, "numbers").count() == 7
 
 
+def files_of(warehouse, layer, *tables):
+    folders = [Path(warehouse.folder(layer, table)) for table in tables]
+    return sum(1 for folder in folders for _ in folder.rglob("*.parquet"))
+
+
+def test_logs_are_merged(spark, warehouse, monkeypatch):
+    """Reads agree before and after; rows of later appends count; a merge that fails changes nothing."""
+
+    def rows():
+        return sorted(control.read_runs(warehouse).collect(), key=repr)
+
+    assert control.merge_logs(warehouse) == 0
+    for round_ in range(2):
+        for number in range(5):
+            control.log_run(warehouse, control.Run(run_id=f"{round_}-{number}", started=control.now()))
+            control.move_bookmark(warehouse, "s", number, 10 * round_ + number, f"f{number}")
+        before = rows()
+        assert len(before) == 5 * (round_ + 1)
+        with monkeypatch.context() as patch:
+            patch.setattr(Warehouse, "append", lambda *_: (_ for _ in ()).throw(OSError("no list")))
+            with pytest.raises(OSError, match="no list"):
+                control.merge_logs(warehouse, most=4)
+        assert rows() == before
+        assert control.merge_logs(warehouse, most=4) == 10
+        assert rows() == before and control.merge_logs(warehouse, most=4) == 0
+        assert control.read_bookmark(warehouse, "s") == control.Bookmark(4, 10 * round_ + 4)
+        assert files_of(warehouse, AUDIT, "pipeline_runs") == 0
+    control.log_run(warehouse, control.Run(run_id="later", started=control.now()))
+    assert len(rows()) == len({row.pipeline_run_id for row in rows()}) == 11
+    tables = {"a": spark.range(2), "b": spark.range(3)}
+    for _ in range(4):
+        warehouse.publish(MARTS, tables)
+    current = sorted(warehouse.current_locations().collect())
+    assert warehouse.merge_logs(most=2) == 4
+    assert sorted(warehouse.current_locations().collect()) == current
+    warehouse.publish(MARTS, {"a": spark.range(9)})
+    assert [frame.count() for frame in warehouse.read(MARTS, "a", "b")] == [9, 3]
+    assert warehouse.drop_old_versions(keep=1) > 0
+    assert [frame.count() for frame in warehouse.read(MARTS, "a", "b")] == [9, 3]
+
+
+def test_many_appends_leave_few_files(spark, warehouse):
+    for start in range(0, 200, 40):
+        for number in range(start, start + 40):
+            control.move_bookmark(warehouse, "s", number, number, "f")
+        warehouse.merge_log(CONTROL, control.WATERMARKS, BOOKMARK_SCHEMA, most=30)
+    names = [control.WATERMARKS + end for end in ("", "_merged", "_merges")]
+    assert files_of(warehouse, CONTROL, *names) < 15
+    assert warehouse.read_log(CONTROL, control.WATERMARKS, BOOKMARK_SCHEMA).count() == 200
+    assert control.read_bookmark(warehouse, "s") == control.Bookmark(199, 199)
+
+
 def test_schema_names():
     assert schema_name("marts") == "MARTS"
     assert schema_name(None) == "PUBLIC"
@@ -249,8 +414,7 @@ def test_new_files_are_loaded_once(spark, warehouse, tmp_path):
     assert {row.source_file for row in trips.collect()} == {"a.csv", "b.csv", "c.csv"}
     assert {row.batch_id[-9:] for row in trips.collect()} == {"-00000000", "-00000001", "-00000002"}
     assert control.read_bookmark(warehouse, "trip_files") == control.Bookmark(4, 4)
-    bad = spark.read.parquet(warehouse.folder(QUARANTINE, NEW_BAD_LINES)).collect()
-    assert [row.bad_line for row in bad] == [SHORT]
+    assert [row.bad_line for row in read_new_bad_lines(warehouse).collect()] == [SHORT]
     runs = control.read_runs(warehouse)
     totals = runs.agg(F.sum("rows_extracted"), F.sum("rows_loaded"), F.sum("rows_rejected")).first()
     assert tuple(totals) == (5, 4, 1)
@@ -268,13 +432,59 @@ def test_new_checkpoint_loses_no_trip(warehouse, tmp_path):
     assert read_new_trips(warehouse).count() == 3
 
 
-def test_new_files_without_a_usable_line_fail(warehouse, tmp_path):
+def test_a_batch_without_a_usable_line_is_set_apart_and_the_stream_goes_on(warehouse, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     write(folder / "a.csv", SHORT, SHORT)
-    with pytest.raises(Exception, match="wrong number of cells"):
-        load_new_files(warehouse, str(folder))
-    assert newest_run(warehouse).execution_status == control.FAILED
+    load_new_files(warehouse, str(folder))
+    run = newest_run(warehouse)
+    assert (run.execution_status, run.rows_extracted, run.rows_loaded, run.rows_rejected) == (control.FAILED, 2, 0, 2)
+    assert "wrong number of cells" in run.failure_reason
+    assert read_new_trips(warehouse).count() == 0
+    assert [row.bad_line for row in read_new_bad_lines(warehouse).collect()] == [SHORT, SHORT]
+    write(folder / "b.csv", GOOD)
+    load_new_files(warehouse, str(folder))
+    assert newest_run(warehouse).execution_status == control.SUCCESS
+    assert read_new_trips(warehouse).count() == 1
+    assert read_new_bad_lines(warehouse).count() == 2
+
+
+def test_no_trips_before_the_first_file(warehouse, tmp_path):
+    (tmp_path / "in").mkdir()
+    assert read_new_trips(warehouse).collect() == [] and read_new_bad_lines(warehouse).collect() == []
+    load_new_files(warehouse, str(tmp_path / "in"))
+    assert newest_run(warehouse).execution_status == control.SKIPPED
+    trips = read_new_trips(warehouse)
+    assert trips.schema == RAW_SCHEMA and trips.count() == 0
+
+
+@pytest.mark.parametrize("step", ["move_bookmark", "point_to_all"])
+def test_an_unrecorded_batch_cannot_be_read(spark, warehouse, tmp_path, monkeypatch, step):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write(folder / "a.csv", GOOD)
+    load_new_files(warehouse, str(folder))
+    write(folder / "b.csv", GOOD, GOOD, SHORT)
+
+    def broken(*_, **__):
+        raise OSError(f"no {step}")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(*((control, step, broken) if step == "move_bookmark" else (Warehouse, step, broken)))
+        with pytest.raises(Exception, match=f"no {step}"):
+            load_new_files(warehouse, str(folder))
+    run = newest_run(warehouse)
+    assert (run.execution_status, run.rows_loaded) == (control.FAILED, 0) and f"no {step}" in run.failure_reason
+    assert read_new_trips(warehouse).count() == 1 and read_new_bad_lines(warehouse).count() == 0
+    load_new_files(warehouse, str(folder))
+    assert newest_run(warehouse).execution_status == control.SUCCESS
+    trips = read_new_trips(warehouse)
+    assert {row.source_file: row["count"] for row in trips.groupBy("source_file").count().collect()} == {"a.csv": 1, "b.csv": 2}
+    assert read_new_bad_lines(warehouse).count() == 1
+    assert control.read_bookmark(warehouse, "trip_files") == control.Bookmark(3, 3)
+    # Parts are no tables of their own.
+    warehouse.register()
+    assert warehouse.drop_old_versions() == 0
 
 
 def test_no_new_file_is_a_skipped_run(warehouse, tmp_path):

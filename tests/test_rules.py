@@ -4,6 +4,7 @@ import random
 import re
 from datetime import datetime, timedelta
 from decimal import ROUND_HALF_UP, Decimal
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from hackney.functions.dayparts import datetime_attributes, time_of_day
 from hackney.functions.keys import datetime_key, location_key
 from hackney.functions.measures import minutes_between, round_half_away, round_to_cents
 from hackney.functions.places import borough, borough_of_trip, grid_bucket
-from hackney.functions.totals import average, group_parts, regroup_parts, total
+from hackney.functions.totals import average, group_moments, group_parts, regroup_parts, summed_moments, total, with_correlations
 from hackney.operators import metrics, quality, staging, trips
 from hackney.plans.model import Model
 from hackney.schemas import RAW_COLUMNS, RAW_SCHEMA
@@ -263,6 +264,37 @@ def test_faults_that_only_a_changed_table_can_have(spark):
     assert quality.failing_rows(quality.UNIQUE[3], doubled["dim_vendor"]).count() == 2
 
 
+def test_orphans_are_found(spark):
+    marts = model(
+        spark, {}, {"payment_type": "9"}, {"payment_type": "8"}, {"payment_type": "9", "vendor_id": None}, {"rate_code_id": " "}
+    ).marts()
+    found = {row.check_name: row for row in quality.relationships(marts).collect()}
+    assert len(found) == 6
+    payments = found["relationship_fact_trip_payment_type_key"]
+    assert (payments.dimension, payments.failures, payments.failing_keys, payments.rows_without_key) == ("dim_payment_type", 3, 2, 0)
+    vendors, rates = found["relationship_fact_trip_vendor_key"], found["relationship_fact_trip_rate_code_key"]
+    assert (vendors.failures, vendors.failing_keys, vendors.rows_without_key) == (0, 0, 1)
+    assert (rates.failures, rates.failing_keys) == (1, 1)
+    # A place, a time and a dropoff place that the dimensions lose.
+    fewer = marts | {"dim_datetime": marts["dim_datetime"].limit(0), "dim_location": marts["dim_location"].filter("latitude > 40.76")}
+    lost = {row.check_name: row.failures for row in quality.relationships(fewer).collect()}
+    assert lost["relationship_fact_trip_datetime_key"] == 5
+    assert lost["relationship_fact_trip_pickup_location_key"] == 5 and lost["relationship_fact_trip_dropoff_location_key"] == 0
+
+
+def test_hot_orphan_is_one_row_in_the_join(spark):
+    """Half of the trips refer to one missing key: it is counted in the tasks, so that the shuffle sees a row of it per task."""
+    fact = spark.range(100_000, numPartitions=4).select(
+        *(F.when(F.col("id") % 2 == 0, F.lit("gone")).otherwise(F.col("id").cast("string")).alias(name) for name in quality.REFERENCES)
+    )
+    keys = spark.range(100_000).filter("id % 2 = 1").select(F.col("id").cast("string").alias("k"))
+    tables = {name: keys.select(F.col("k").alias(key)) for name, key in quality.KEYS.items()} | {"fact_trip": fact}
+    found = quality.relationships(tables)
+    assert {(row.failures, row.failing_keys) for row in found.collect()} == {(50_000, 1)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def test_totals(spark):
     frame = spark.createDataFrame([("a", 0.1), ("a", 0.2), ("a", None), ("b", 2e9), ("b", 0.5), ("c", None)], "g string, x double")
     parts = group_parts(frame, [F.col("g")], ["x"])
@@ -280,8 +312,67 @@ def test_totals_keep_every_digit(spark):
     assert group_parts(unfit, [], ["x"]).select(total("x"), average("x")).first() == (None, None)
 
 
+def test_totals_of_large_and_long_amounts_add_up(spark):
+    """Amounts of all kinds in one group: ten-thousandths, more places, beyond the limbs, negative; in any order and regrouped."""
+    rng = random.Random(7)
+    amounts = [str(rng.randrange(-10**6, 10**6) / 10**k) for k in (0, 1, 2, 4, 5, 9) for _ in range(40)]
+    amounts += ["7036874417766.4", "-7036874417.7664", "1e15", "-1e19", "2.5e-7"]
+    frame = spark.createDataFrame([(i % 3, float(x)) for i, x in enumerate(amounts)], "g int, x double")
+    wanted = float(sum(Decimal(repr(float(x))) for x in amounts))
+    for parts in (1, 5):
+        grouped = group_parts(frame.repartition(parts), [F.col("g")], ["x"])
+        assert regroup_parts(grouped, [], ["x"]).select(total("x")).first()[0] == wanted
+    over = spark.createDataFrame([(i, 9e19) for i in range(3)], "g int, x double")
+    assert group_parts(over, [], ["x"]).select(total("x")).first()[0] is None
+    assert regroup_parts(group_parts(over, [F.col("g")], ["x"]), [], ["x"]).select(total("x")).first()[0] is None
+
+
+def moments_of(spark, rows):
+    frame = spark.createDataFrame([("g", *row) for row in rows], "g string, x double, y double")
+    found = {}
+    for parts in (1, 4):
+        moments = group_moments(frame.repartition(parts), ["g"], ["x", "y"])
+        sums = summed_moments(moments, "g", ["x", "y"], {"r": ("x", "y")}).filter("is_all_trips")
+        row = with_correlations(sums, ["r"]).select(average("x"), average("y"), "r", "trips")
+        found[parts] = set(row.collect())
+    assert found[1] == found[4] and len(found[1]) == 1
+    return found[1].pop()
+
+
+def exactly(rows):
+    """Correlation in fractions, of the decimals that the numbers are written as."""
+    both = [(Fraction(repr(x)), Fraction(repr(y))) for x, y in rows if x is not None and y is not None]
+    n = len(both)
+    mean_x, mean_y = (sum(values) / n for values in zip(*both))
+    xy = sum((x - mean_x) * (y - mean_y) for x, y in both)
+    xx, yy = sum((x - mean_x) ** 2 for x, _ in both), sum((y - mean_y) ** 2 for _, y in both)
+    return float(xy) / (float(xx) * float(yy)) ** 0.5
+
+
+@pytest.mark.parametrize(
+    "scale, places, shift", [(100, 2, 0), (100, 7, 0), (1000, 2, 2e5), (1, 4, 2e5), (3e6, 2, 0), (100, 2, 1e9), (10, 9, 5e6)]
+)
+def test_correlation_is_exact(spark, scale, places, shift):
+    rng = random.Random(scale + places)
+    rows = [(round(shift + rng.random() * scale, places), round(shift + rng.random() * scale, 2)) for _ in range(60)]
+    rows = [(x, round(y + x / 2, 2)) for x, y in rows] + [(None, 3.0), (4.0, None), (None, None)]
+    x, y, r, trips = moments_of(spark, rows)
+    assert trips == 63 and r == pytest.approx(exactly(rows), abs=1e-6)
+    given = [Decimal(repr(row[0])) for row in rows if row[0] is not None]
+    assert x == pytest.approx(float(sum(given) / len(given)), rel=1e-15)
+
+
+def test_one_huge_trip_keeps_the_correlation(spark):
+    rows = [(float(i), float(2 * i % 7)) for i in range(50)] + [(1e12, 5.0), (1e10, 1e10)]
+    assert moments_of(spark, rows)[2] == pytest.approx(exactly(rows), abs=1e-6)
+    assert moments_of(spark, [(1.0, 2.0), (2.0, 5.0), (1e18, 1.0)])[2] is None  # its square has no exact sum
+    assert moments_of(spark, [(1.00004, 2.0), (1.00004, 5.0), (1.00004, 7.0)])[2] is None
+    assert moments_of(spark, [(1.0, None), (None, 5.0)])[2] is None
+
+
 def test_efficiency_does_not_depend_on_the_partitions(spark):
     trips_given = [{"fare_amount": f"{i % 97}.{i % 90 + 10}", "trip_distance": f"{i % 31}.1{i % 7}"} for i in range(400)]
+    trips_given += [{"trip_distance": "1e12"}, {"trip_distance": "3.141592653"}, {"total_amount": "1e10"}]
     located = metrics.located_trips(model(spark, *trips_given).valid_trips).cache()
     found = {tuple(sorted(map(str, metrics.trip_efficiency(located.repartition(n)).collect()))) for n in (1, 2, 3, 7, 13)}
     located.unpersist()
