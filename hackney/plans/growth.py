@@ -56,6 +56,7 @@ class _Growth:
         # Marts of a full build do not know which batches they hold, so the first run makes all tables anew.
         if not self.staged:
             self.known = {}
+        self.whole = {(layer, name) for layer in (MARTS, METRICS) for name in warehouse.names(layer, ["fact_trip", *CELLS])}
         self.written: dict[tuple[str, str], str | None] = {}
 
     def parts(self, layer: str, table: str) -> dict[str, str]:
@@ -67,9 +68,14 @@ class _Growth:
         return self.warehouse.read_folders(layer, table, folders) if folders else None
 
     def replace_days(self, layer: str, table: str, rows: DataFrame) -> None:
-        """Writes the days that the rows fall on in place of those there are."""
+        """Writes the days that the rows fall on in place of those there are. A table without a day is an empty one."""
         location = self.warehouse.write(layer, table, rows, by=PICKUP_DATE)
-        self.written |= self.warehouse.parts_in(layer, table, location, PICKUP_DATE)
+        parts = self.warehouse.parts_in(layer, table, location, PICKUP_DATE)
+        if not parts and not self.parts(layer, table):
+            parts = {(layer, table): self.warehouse.write(layer, table, rows.limit(0))}
+        elif (layer, table) in self.whole:
+            parts[layer, table] = None
+        self.written |= parts
 
     def append(self, layer: str, table: str, rows: DataFrame) -> None:
         """Adds a part of this run, or writes the table anew as one where it has many."""

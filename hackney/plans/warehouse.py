@@ -158,22 +158,35 @@ class Warehouse:
 
     # Versioned tables.
 
-    def write(self, layer: str, table: str, rows: DataFrame, by: str | None = None) -> str:
+    def write(
+        self, layer: str, table: str, rows: DataFrame, by: str | None = None, counts: dict[str, Column] | None = None, seen: Observation | None = None
+    ) -> str:
         """Writes a version that is not current yet, in folders by a column if one is given. Returns its folder.
 
         Spark gathers the rows of each value of `by` and cuts large ones, so a
-        value has few files however many tasks its rows come from.
+        value has few files however many tasks its rows come from. `counts` are
+        taken as the rows are written, and left in `seen`.
         """
         location = f"{self.folder(layer, table)}/{_VERSION}={uuid.uuid4().hex}"
-        if by is None:
-            rows.write.parquet(location)
-        else:
-            rows.hint("rebalance", by).write.partitionBy(by).parquet(location)
+        if by is not None:
+            rows = rows.hint("rebalance", by)
+        if seen is not None:
+            rows = rows.observe(seen, *(count.alias(alias) for alias, count in counts.items()))
+        writer = rows.write if by is None else rows.write.partitionBy(by)
+        writer.parquet(location)
         return location
 
     def parts_in(self, layer: str, table: str, location: str, by: str) -> dict[tuple[str, str], str]:
-        """The parts that a version written by a column holds, by layer and name: one per value, so they are few."""
-        values = self.spark.read.parquet(location).select(F.col(by).cast("string")).distinct().collect()
+        """The parts that a version written by a column holds, by layer and name: one per value, so they are few.
+
+        A version without rows has none, and no file either.
+        """
+        try:
+            values = self.spark.read.parquet(location).select(F.col(by).cast("string")).distinct().collect()
+        except AnalysisException as error:
+            if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
+            return {}
         names = [_NO_VALUE if value is None else value for (value,) in values]
         return {(layer, part_name(table, value, by)): f"{location}/{by}={value}" for value in names}
 
@@ -205,8 +218,7 @@ class Warehouse:
         def write(name: str) -> dict[str, int | str]:
             observation = Observation()
             counts = {"rows": F.count(F.lit(1))} | (wanted or {}).get(name, {})
-            counted = tables[name].observe(observation, *(count.alias(alias) for alias, count in counts.items()))
-            location = self.write(layer, name, counted, by.get(name))
+            location = self.write(layer, name, tables[name], by.get(name), counts, observation)
             return observation.get | {"location": location}
 
         with ThreadPoolExecutor(_WRITES_AT_ONCE) as pool:
@@ -214,10 +226,10 @@ class Warehouse:
         # What a table consisted of before, whole or in parts, is current no more.
         current = {(layer, name): None for name in self._current(layer) if _table_of(name) in tables}
         for name, found in written.items():
-            if name in by:
-                current |= self.parts_in(layer, name, found["location"], by[name])
-            else:
-                current[layer, name] = found["location"]
+            parts = self.parts_in(layer, name, found["location"], by[name]) if name in by else {}
+            # A table without parts is an empty one as a whole, so that it has its columns.
+            whole = self.write(layer, name, tables[name].limit(0)) if name in by and not parts else found["location"]
+            current |= parts or {(layer, name): whole}
         self.point_to_all(current | {(layer, name): location for name, location in (also or {}).items()})
         return written
 

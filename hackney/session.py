@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -40,7 +42,7 @@ def build_session(master: str | None = None, name: str = "hackney", **settings:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that every executor can reach, under `spark.checkpoint.dir`.
+    """A new folder that every executor can reach, under `spark.checkpoint.dir`; it goes when the application ends.
 
     Without that setting a folder of this machine serves, but only where all
     work runs on this machine.
@@ -50,4 +52,10 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return os.path.join(base, f"hackney-{uuid.uuid4().hex}")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    folder = os.path.join(base, f"hackney-{uuid.uuid4().hex}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder

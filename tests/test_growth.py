@@ -126,6 +126,25 @@ def test_a_failed_run_leaves_nothing(spark, warehouse, tmp_path, monkeypatch):
     same_as_a_full_build(warehouse)
 
 
+def test_batches_without_a_valid_trip(spark, warehouse, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for condition in ("trip_distance = '0.0'", "trip_distance = '0.0'", f"({BATCHES[0]}) and {CLEAN}"):
+        put(spark, folder, condition)
+        load_new_files(warehouse, str(folder))
+        assert growth.grow(warehouse) == 1
+        growth.publish_metrics(warehouse)
+        assert warehouse.read_one(growth.METRICS, "kpi_summary").first().total_trips == warehouse.read_one(MARTS, "fact_trip").count()
+    same_as_a_full_build(warehouse, ["fact_trip"])
+
+
+def test_a_full_build_without_a_valid_trip(spark, warehouse):
+    none = trips_from_events(spark, f"{DATA}/sf0.001").filter("trip_distance = '0.0'")
+    daily.stage_trips(warehouse, none)
+    daily.build_marts(warehouse)
+    assert warehouse.read_one(MARTS, "fact_trip").count() == 0
+
+
 def test_many_parts_become_one(spark, warehouse, tmp_path, monkeypatch):
     monkeypatch.setattr(growth, "MOST_PARTS", 2)
     folder = tmp_path / "in"
@@ -205,7 +224,8 @@ def test_a_large_day_is_cut_into_files_of_bounded_size(spark, warehouse):
     table = warehouse.read_one(MARTS, "t")
     names = table.select("day", F.input_file_name().alias("f")).distinct()
     files = {row.day: row["count"] for row in names.groupBy("day").count().collect()}
-    assert files["b"] <= 2 and files["c"] <= 2 and 2 <= files["a"] <= 6, files
+    # Days that fall into one partition are cut together, so a small one can have as many files as the large one.
+    assert 2 <= files["a"] <= 6 and max(files.values()) <= files["a"], files
     assert table.count() == 200_000
 
 
