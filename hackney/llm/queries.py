@@ -194,6 +194,64 @@ select t.doc_id, cast(len(t.words) as bigint) as n_words, coalesce(c.n, 0) as n_
 from texts t left join covered c on t.doc_id = c.doc_id left join found f on t.doc_id = f.doc_id
 """
 
+_NEAR_SQL = r"""
+with recursive texts as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as words from documents
+),
+sets as (
+  select doc_id, case when len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, ' ')]
+    else list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) end as shingles
+  from texts
+),
+runs as (select doc_id, len(shingles) as n, unnest(shingles) as shingle from sets),
+pairs as (
+  select x.doc_id as a, y.doc_id as b, any_value(x.n + y.n) as n, count(*) as shared
+  from runs x join runs y on x.shingle = y.shingle and x.doc_id < y.doc_id group by x.doc_id, y.doc_id
+),
+links as (select a, b from pairs where 100 * shared >= 85 * (n - shared)),
+edges as (select a, b from links union all select b, a from links),
+reached(doc_id, other) as (
+  select doc_id, doc_id from sets
+  union
+  select r.doc_id, e.b from reached r join edges e on e.a = r.other
+)
+select s.doc_id, cast(len(s.shingles) as bigint) as n_shingles, min(r.other) as component_id, s.doc_id = min(r.other) as kept
+from sets s join reached r on r.doc_id = s.doc_id group by s.doc_id, s.shingles
+"""
+
+_BYTES_SQL = r"""
+with texts as (select doc_id, hex(encode(coalesce(text, ''))) as data from documents),
+windows as (
+  select doc_id, i, md5(data[2 * i + 1:2 * i + 200]) as mark
+  from (select doc_id, data, unnest(range(0, len(data) // 2 - 99)) as i from texts where len(data) >= 200)
+),
+repeats as (
+  select doc_id, i from (
+    select doc_id, i, row_number() over (partition by mark order by doc_id, i) as place from windows
+  ) where place > 1
+),
+runs as (
+  select doc_id, i, sum(opens) over (partition by doc_id order by i) as run from (
+    select doc_id, i, case when i > lag(i) over (partition by doc_id order by i) + 100 then 1 else 0 end as opens from repeats
+  )
+),
+spans as (select doc_id, min(i) as low, max(i) + 100 as high from runs group by doc_id, run),
+edges as (
+  select doc_id, low, high, lag(high, 1, 0) over (partition by doc_id order by low) as before from spans
+),
+cut as (
+  select e.doc_id, sum(high - low) as n_removed, count(*) as n_spans, max(high) as last,
+    string_agg(t.data[2 * before + 1:2 * low], '' order by low) as kept
+  from edges e join texts t on t.doc_id = e.doc_id group by e.doc_id
+)
+select t.doc_id, cast(len(t.data) // 2 as bigint) as n_bytes, cast(coalesce(c.n_removed, 0) as bigint) as n_removed,
+  cast(coalesce(c.n_spans, 0) as bigint) as n_spans,
+  sha256(unhex(coalesce(c.kept, '') || t.data[2 * coalesce(c.last, 0) + 1:])) as kept_sha256
+from texts t left join cut c on t.doc_id = c.doc_id
+"""
+
 _TRIE_SQL = r"""
 with recursive bits(i, crc) as (
   select i, cast(i as bigint) as crc from range(256) as r(i)
@@ -256,4 +314,11 @@ from named n join totals t on t.prefix = n.prefix and t.depth = n.depth
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": _SUBSTRING_SQL, "op5_exact_dedup": _EXACT_SQL, "op10_decontaminate": _BENCHMARK_SQL, "op11_prefix_trie": _TRIE_SQL}
+    return {
+        "op3_substring_dedup": _SUBSTRING_SQL,
+        "op5_exact_dedup": _EXACT_SQL,
+        "op7_near_dedup": _NEAR_SQL,
+        "op8_suffix_dedup": _BYTES_SQL,
+        "op10_decontaminate": _BENCHMARK_SQL,
+        "op11_prefix_trie": _TRIE_SQL,
+    }
