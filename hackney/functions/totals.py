@@ -19,6 +19,7 @@ eight places for the rest.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 _EXACT = "decimal(38,18)"
 _WHOLE = "decimal(38,0)"
 #: Ten-thousandths are whole numbers; below this many, a sum's limbs have `_SUM_BITS` bits.
-_SCALE = 10_000
+_PLACES = 4
+_SCALE = 10**_PLACES
 _MOST = 1 << 46
 _SUM_BITS = 23
 #: The same for moments: ten-thousandths below 2^31, whose products have three limbs.
@@ -62,9 +64,12 @@ def _whole(limbs: list[Column], bits: int) -> Column:
     return out
 
 
-def _divided(whole: Column, by: int, kind: str) -> Column:
+def _scaled_down(whole: Column, places: int, kind: str) -> Column:
     """A whole number of small units as a decimal with all its places; NULL where it is too large for one."""
-    return F.try_divide(whole.try_cast("decimal(38,0)"), F.lit(by).cast("decimal(9,0)")).try_cast(kind)
+    unit = Decimal(1).scaleb(-places)
+    exact = F.try_multiply(whole.try_cast("decimal(29,0)"), F.lit(unit)).try_cast(kind)
+    # Beyond 29 digits Spark keeps six places.
+    return F.coalesce(exact, F.try_divide(whole, F.lit(10**places).cast("decimal(9,0)")).try_cast(kind))
 
 
 def _parts(name: str) -> list[str]:
@@ -111,7 +116,7 @@ def total(name: str) -> Column:
     """Sum of the amount; NULL where no trip has one, or where one does not fit."""
     count, high, low, others, other, unfit = map(F.col, _parts(name))
     none = F.lit(0).cast(_EXACT)
-    whole = F.when(high.isNull(), none).otherwise(_divided(_whole([high, low], _SUM_BITS), _SCALE, _EXACT))
+    whole = F.when(high.isNull(), none).otherwise(_scaled_down(_whole([high, low], _SUM_BITS), _PLACES, _EXACT))
     rest = F.when(F.coalesce(others, F.lit(0)) == 0, none).otherwise(other)
     return F.when((count > 0) & (unfit == 0), F.try_add(whole, rest).cast("double"))
 
@@ -156,8 +161,8 @@ def group_moments(trips: DataFrame, by: list[str], amounts: list[str]) -> DataFr
     parts = [part for name in amounts for part in _part_sums(name)]
     grouped = rows.groupBy(*by, *given, *rare_, "fits").agg(F.count(F.lit(1)).alias("trips"), *parts, *ends, *sums)
 
-    def usual(name: str, bits: int, scale: int) -> Column:
-        return _divided(_whole([F.col(f"{name}_{place}") for place in range(len(limbs[name]))], bits), scale, _MOMENT)
+    def usual(name: str, bits: int, places: int) -> Column:
+        return _scaled_down(_whole([F.col(f"{name}_{place}") for place in range(len(limbs[name]))], bits), places, _MOMENT)
 
     def times_trips(value: Column, kind: str, many: str) -> Column:
         return F.try_multiply(value.try_cast(kind), F.col("trips").try_cast(many)).try_cast(_MOMENT)
@@ -169,9 +174,9 @@ def group_moments(trips: DataFrame, by: list[str], amounts: list[str]) -> DataFr
         return F.coalesce(exact, (a * b).try_cast(_MOMENT))
 
     # A sum keeps all places, as it is multiplied by a mean later on; the places of a sum of products are only added up.
-    found = {f"s_{x}": (usual(f"s_{x}", _MOMENT_BITS, _SCALE), times_trips(F.col(f"rare_{x}"), "decimal(25,8)", "decimal(12,0)")) for x in amounts}
+    found = {f"s_{x}": (usual(f"s_{x}", _MOMENT_BITS, _PLACES), times_trips(F.col(f"rare_{x}"), "decimal(25,8)", "decimal(12,0)")) for x in amounts}
     found |= {
-        f"s_{x}_{y}": (usual(f"s_{x}_{y}", _PRODUCT_BITS, _SCALE**2), times_trips(rare_product(x, y), _MOMENT, "decimal(18,0)"))
+        f"s_{x}_{y}": (usual(f"s_{x}_{y}", _PRODUCT_BITS, 2 * _PLACES), times_trips(rare_product(x, y), _MOMENT, "decimal(18,0)"))
         for x, y in _pairs(amounts)
     }
     as_decimals = {name: F.when(F.col("fits"), often).otherwise(rare) for name, (often, rare) in found.items()}
