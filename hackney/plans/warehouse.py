@@ -343,7 +343,9 @@ class Warehouse:
         column = next(iter(found)).partition("/")[2].partition("=")[0]
         folders = {part.partition("=")[2]: location for part, location in found.items()}
         rows = self.spark.read.option("basePath", f"{self.root}/{schema}/{table}").parquet(*folders.values()).drop(_VERSION)
-        columns = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in rows.schema)
+        kinds = {field.name: field.dataType.simpleString() for field in rows.schema}
+        # The value of a part that stands for no value of the rows may be in no path.
+        columns = ", ".join(f"{field} {kind}" for field, kind in ({column: "string"} | kinds).items())
         self.spark.sql(f"drop table if exists {name}")
         self.spark.sql(
             f"create table {name} ({columns}) using parquet partitioned by ({column}) location '{self.root}/{schema}/{table}'"
