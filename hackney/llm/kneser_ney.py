@@ -1,10 +1,12 @@
 """Modified Kneser-Ney model of sequences of symbols, kept in sorted arrays.
 
-A text is a sequence of 64 symbols: white space, the Latin letters without case, a
-digit, kinds of punctuation, and 24 classes that all other characters fall into.
-The hash of a run of `ORDER` symbols puts six bits of each together, so that it
-fits into 24 bits whatever the corpus holds, and no two runs share one. That
-bounds the model: at most 2^24 entries, and in practice far fewer.
+The symbols of a text are the units of its UTF-16 form: one for a character, two
+for one beyond the first 65,536, and no two characters share a form. Texts are read
+without case, with a space for white space of all kinds and 0 for the digits 0 to 9,
+so that numbers and keys do not count as another language. The hash of a run of
+`ORDER` symbols puts their sixteen bits together, so that it fits into 64 bits and
+no two runs share one. The number of runs follows the corpus; models too large for
+arrays of one machine are tables (`kneser_ney_tables`).
 """
 
 from __future__ import annotations
@@ -16,39 +18,37 @@ from functools import cache
 import numpy as np
 
 ORDER = 4
-BITS = 6
+BITS = 16
 SYMBOLS = 1 << BITS
-#: Characters that are worked on at a time; longer texts are taken in blocks that share their borders.
+#: Symbols that are worked on at a time; longer texts are taken in blocks that share their borders.
 BLOCK = 1 << 20
 
-# Characters that share a symbol, from the first symbol after white space, letters and digits on.
-_PUNCTUATION = [".", ",", "'\"", "-", "!?", ":;", "()[]{}", "<>", "/\\|", "#$%&@", "*+=~^`_"]
+# The characters that count as a space.
+_SPACES = [0x20, *range(0x09, 0x0E), 0x85, 0xA0, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x3000]
 
 
 @cache
 def _symbol_table() -> np.ndarray:
-    """Symbol of each code point."""
-    points = np.arange(0x110000, dtype=np.uint64)
-    first = 28 + len(_PUNCTUATION) + 1
-    table = (first + (points * np.uint64(2654435761) >> np.uint64(16)) % np.uint64(SYMBOLS - first)).astype(np.uint8)
-    table[:128] = first - 1  # control characters
-    for place, letters in enumerate(_PUNCTUATION):
-        table[[ord(letter) for letter in letters]] = 28 + place
-    table[ord("0") : ord("9") + 1] = 27
-    table[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    table[[0x20, *range(0x09, 0x0E), 0x85, 0xA0, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x3000]] = 0
+    """Symbol of each unit of UTF-16."""
+    table = np.arange(SYMBOLS, dtype=np.uint16)
+    table[_SPACES] = ord(" ")
+    table[ord("0") : ord("9") + 1] = ord("0")
     return table
 
 
+def mask(length: int) -> int:
+    """The bits of the last `length` symbols of a run."""
+    return (1 << (BITS * length)) - 1
+
+
 def hashes(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hashes of the runs that end at each character, and the text each is of, for about `BLOCK` characters at a time."""
-    parts: list[tuple[int, str]] = []
+    """Hashes of the runs that end at each symbol, and the text each is of, for about `BLOCK` symbols at a time."""
+    parts: list[tuple[int, np.ndarray]] = []
     held = 0
     for owner, text in enumerate(texts):
-        lower = text.lower()
-        for start in range(0, len(lower), BLOCK):
-            before = lower[max(0, start - ORDER + 1) : start].rjust(ORDER - 1)
-            parts.append((owner, before + lower[start : start + BLOCK]))
+        units = np.frombuffer((" " * (ORDER - 1) + text.lower()).encode("utf-16-le", "surrogatepass"), np.uint16)
+        for start in range(0, len(units) - ORDER + 1, BLOCK):
+            parts.append((owner, units[start : start + BLOCK + ORDER - 1]))
             held += len(parts[-1][1])
             if held >= BLOCK:
                 yield _hashes(parts)
@@ -57,12 +57,11 @@ def hashes(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield _hashes(parts)
 
 
-def _hashes(parts: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
-    points = np.frombuffer("".join(part for _, part in parts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    symbols = _symbol_table()[points].astype(np.int32)
+def _hashes(parts: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    symbols = _symbol_table()[np.concatenate([part for _, part in parts])].astype(np.uint64)
     code = symbols[ORDER - 1 :].copy()
     for back in range(1, ORDER):
-        code |= symbols[ORDER - 1 - back : len(symbols) - back] << (BITS * back)
+        code |= symbols[ORDER - 1 - back : len(symbols) - back] << np.uint64(BITS * back)
     sizes = np.array([len(part) - ORDER + 1 for _, part in parts])
     # Of every part, the runs that end in its margin are left out.
     begins = np.cumsum(sizes + ORDER - 1) - (sizes + ORDER - 1)
@@ -83,11 +82,14 @@ class Tally:
         self.held += len(found)
         if self.held > self.most:
             self.parts = [self.merged()]
-            self.held = 0  # what is merged is bounded by the number of hashes
+            self.held = 0
+
+    def size(self) -> int:
+        return sum(len(codes) for codes, _ in self.parts)
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.parts:
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         codes, counts = (np.concatenate(arrays) for arrays in zip(*self.parts, strict=True))
         order = np.argsort(codes, kind="stable")
         codes, counts = codes[order], counts[order]
@@ -96,8 +98,12 @@ class Tally:
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
-    """What is taken off counts of 1, 2 and 3 or more; the usual estimate, or half of each where that is not in range."""
-    n1, n2, n3, n4 = (int((counts == times).sum()) for times in range(1, 5))
+    """What is taken off counts of 1, 2 and 3 or more."""
+    return discounts_of(*(int((counts == times).sum()) for times in range(1, 5)))
+
+
+def discounts_of(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
+    """From how many counts are 1 to 4: the usual estimate, or half of each count where that is not in range."""
     if min(n1, n2, n3, n4) > 0:
         share = n1 / (n1 + 2 * n2)
         found = np.array([1 - 2 * share * n2 / n1, 2 - 3 * share * n3 / n2, 3 - 4 * share * n4 / n3])
@@ -122,23 +128,24 @@ class Model:
 
     def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
         """Natural logs; runs that the model has not seen get what is left, times that of the shorter run."""
+        codes, places = np.unique(codes.astype(np.uint64), return_inverse=True)
         out = np.zeros(len(codes))
         left = np.arange(len(codes))
         for length in range(len(self.levels), 0, -1):
             level = self.levels[length - 1]
-            wanted = codes[left] & ((1 << (BITS * length)) - 1)
-            place, known = _find(level.runs, wanted)
+            wanted = codes[left] & np.uint64(mask(length))
+            place, known = find(level.runs, wanted)
             out[left[known]] += level.log_probability[place[known]]
             left, wanted = left[~known], wanted[~known]
             if not len(left):
-                return out
-            place, known = _find(level.contexts, wanted >> BITS)
+                return out[places]
+            place, known = find(level.contexts, wanted >> np.uint64(BITS))
             out[left[known]] += level.log_left[place[known]]
         out[left] -= np.log(SYMBOLS)
-        return out
+        return out[places]
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
         return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
     place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
@@ -147,24 +154,24 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def build(codes: np.ndarray, counts: np.ndarray) -> Model:
     """The model of counted runs. Shorter runs count by how many symbols they have been seen after."""
-    tables = [(codes.astype(np.int32), counts.astype(np.int64))]
+    tables = [(codes.astype(np.uint64), counts.astype(np.int64))]
     for length in range(ORDER - 1, 0, -1):
         longer = tables[0][0]
-        runs, seen = np.unique(longer & ((1 << (BITS * length)) - 1), return_counts=True)
-        tables.insert(0, (runs.astype(np.int32), seen.astype(np.int64)))
+        runs, seen = np.unique(longer & np.uint64(mask(length)), return_counts=True)
+        tables.insert(0, (runs, seen.astype(np.int64)))
     levels: list[Level] = []
     shorter_p = np.zeros(0)
     for length, (runs, seen) in enumerate(tables, 1):
         off = discounts(seen)
-        contexts, owner = np.unique(runs >> BITS, return_inverse=True)
+        contexts, owner = np.unique(runs >> np.uint64(BITS), return_inverse=True)
         whole = np.bincount(owner, seen, len(contexts))
         taken = off[np.minimum(seen, 3) - 1] if len(seen) else np.zeros(0)
         left = np.bincount(owner, taken, len(contexts)) / np.maximum(whole, 1)
         if length == 1:
             below = np.full(len(runs), 1 / SYMBOLS)
         else:
-            place, _ = _find(tables[length - 2][0], runs & ((1 << (BITS * (length - 1))) - 1))
+            place, _ = find(tables[length - 2][0], runs & np.uint64(mask(length - 1)))
             below = shorter_p[place]
         shorter_p = (seen - taken) / whole[owner] + left[owner] * below if len(runs) else np.zeros(0)
-        levels.append(Level(runs, np.log(shorter_p), contexts.astype(np.int32), np.log(np.maximum(left, 1e-300))))
+        levels.append(Level(runs, np.log(shorter_p), contexts, np.log(np.maximum(left, 1e-300))))
     return Model(levels)

@@ -130,3 +130,54 @@ def test_bands_reject_what_is_unlike_the_language(spark):
     found = {row.doc_id: row for row in quality_rules.quality_rules(frame).collect()}
     assert sorted(i for i, row in found.items() if not row.kept) == [1000, 1001]
     assert found[0].lower != found[1].lower and found[1002].upper == found[1001].upper
+
+
+def test_every_character_is_a_symbol_of_its_own():
+    """The characters beyond ASCII once shared 24 symbols, so that a text had the perplexity of quite another one."""
+    points = [*range(0x21, 0x31), *range(0x3A, 0xD800), *range(0xE000, 0x110000, 7)]
+    letters = dict.fromkeys(c for c in map(chr, points) if c.lower() == c and not c.isspace() and not 0x2000 <= ord(c) <= 0x200A)
+    (found,) = [codes for codes, _ in kneser_ney.hashes(["".join(c for c in letters if ord(c) < 0x10000)])]
+    assert len(np.unique(found & np.uint64(kneser_ney.mask(1)))) == len(found)
+    beyond = [c for c in letters if ord(c) >= 0x10000]
+    codes, owner = (np.concatenate(x) for x in zip(*kneser_ney.hashes(beyond), strict=True))
+    assert np.bincount(owner).tolist() == [2] * len(beyond)
+    assert len(np.unique(codes)) == len(np.unique(codes[::2])) + len(beyond)
+
+
+def test_text_of_other_letters_is_unlike_the_language(spark):
+    rng = random.Random(9)
+    greek = [chr(c) for c in range(0x3B1, 0x3CA)]
+    syllables = ["".join(rng.choice(greek) for _ in range(3)) for _ in range(8)]
+    texts = [" ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(150)) for _ in range(120)]
+    # For each letter one that once had the same symbol.
+    same = {a: chr(next(b for b in range(0x4E00, 0x9FFF) if b * 2654435761 // 65536 % 24 == ord(a) * 2654435761 // 65536 % 24)) for a in greek}
+    rows = [*enumerate(texts), (1000, "".join(same.get(c, c) for c in texts[0]))]
+    frame = spark.createDataFrame([(i, text, "el") for i, text in rows], "doc_id long, text string, lang string")
+    assert [row.doc_id for row in quality_rules.quality_rules(frame).collect() if not row.kept] == [1000]
+
+
+@pytest.mark.parametrize("most", [0, 40, 200])
+def test_models_in_tables_are_those_in_arrays(spark, monkeypatch, most):
+    """All runs count, those seen and broadcast, those seen and joined, and those of texts the model has not seen."""
+    rng = random.Random(most)
+    learned = ["".join(rng.choice("aaab c,é日本😀") for _ in range(rng.randrange(90))) for _ in range(40)] + [None, ""]
+    others = [*learned, "zq é日 unseen 한국어 😂", "日本" * 40, "aab c" * 9, "q", None]
+    frames = [
+        spark.createDataFrame([(i % 30, text, None) for i, text in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+        for texts in (learned, others)
+    ]
+
+    def found(block):
+        monkeypatch.setattr(kneser_ney, "BLOCK", block)
+        model = quality_rules.train(frames[0])
+        rows = quality_rules.measures(frames[1], model).collect()
+        return model, sorted((row[:7], row.log_perplexity) for row in rows if row.n_words or row.log_perplexity is not None)
+
+    arrays, wanted = found(1 << 20)
+    monkeypatch.setattr(quality_rules, "BROADCAST_RUNS", most)
+    monkeypatch.setattr(quality_rules, "COUNTED_RUNS", 50)
+    tables, rows = found(16)
+    assert isinstance(arrays, kneser_ney.Model) and not isinstance(tables, kneser_ney.Model)
+    assert len(tables.frequent.runs) <= most and (most == 0 or len(tables.frequent.runs) > 0)
+    assert [row[0][0] for row in rows] == [row[0][0] for row in wanted]
+    assert np.allclose([row[1] for row in rows], [row[1] for row in wanted], rtol=1e-9)
