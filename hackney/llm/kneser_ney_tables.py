@@ -48,8 +48,8 @@ def _last(run: Column, length: int) -> Column:
 
 
 def build(counted: DataFrame, most: int) -> Tables:
-    """Of the rows code and n, one for each run; the most frequent runs, at most `most`, are broadcast."""
-    counts = [checkpointed(counted.select(F.col("code").alias("run"), F.col("n").alias("seen")))]
+    """Of the rows code and n, one for each run and read again and again; the most frequent runs, at most `most`, are broadcast."""
+    counts = [counted.select(F.col("code").alias("run"), F.col("n").alias("seen"))]
     for length in range(ORDER - 1, 0, -1):
         shorter = counts[0].groupBy(_last(F.col("run"), length).alias("run")).agg(F.count(F.lit(1)).alias("seen"))
         counts.insert(0, checkpointed(shorter))
