@@ -142,3 +142,9 @@ class Ranges:
     def hash(self, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
         """Of the values in [start, end); equal ranges have equal hashes, in this and in other sequences."""
         return mix((self.sums[ends] - self.sums[starts]) * self.back[starts], seed)
+
+    def neighbours(self, width: int) -> np.ndarray:
+        """Of every `width` values that follow each other, as they are: equal ones for equal values, but not spread over all bits."""
+        out = self.sums[width:] - self.sums[:-width]
+        out *= self.back[: len(out)]
+        return out
