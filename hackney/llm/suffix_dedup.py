@@ -54,9 +54,9 @@ BLOCK = 1 << 15
 FREQUENT = 4096
 MOST_LISTED = 1 << 16
 #: Stretches of which a task knows the different ones, to count them; beyond that some count again.
-MOST_KNOWN = 1 << 21
+MOST_KNOWN = 1 << 20
 #: Bytes of text of which equal stretches are sent once.
-PIECE_BYTES = 4 * CHUNK_BYTES
+PIECE_BYTES = 2 * CHUNK_BYTES
 #: Bytes of text for which there is one shard, shards of a task, and bytes that a suffix array is built of at a time.
 BYTES_PER_SHARD = 16 << 20
 SHARDS_PER_TASK = 4
